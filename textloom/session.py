@@ -53,19 +53,18 @@ class Stash:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
         self.count += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._stash_path = path
         return out
 
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
-            path = self.paths.pop(id(df), None) if df is not None else None
+            path = getattr(df, "_stash_path", None)
             if path:
                 hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
