@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import components as cc
-from textloom.llm import topn
+from textloom.llm import leaks as lk
+from textloom.llm import mixing, near, prose, spans, syntax, topn
 from textloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,116 @@ def p6_files(spark, folder):
     rows = groups.join(files, "block_id")
     sizes = rows.groupBy("group_id").agg(F.count("*").alias("n_blocks"), F.countDistinct("file_id").alias("n_files"))
     return rows.join(sizes, "group_id").select("block_id", "file_id", "group_id", "n_blocks", "n_files")
+
+
+# 1: near-duplicate records with small edits
+
+
+def _near_files(spark, folder, **options):
+    return near.near(table(spark, folder, "files"), **options)
+
+
+@query("p1_found")
+def p1_found(spark, folder):
+    return _near_files(spark, folder).pairs().select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
+
+
+@query("p1_groups")
+def p1_groups(spark, folder):
+    """One row for each file with shingles: its class, its links to other classes, and the class's mean block score."""
+    blocks = table(spark, folder, "blocks").groupBy("block_id").agg(F.min(F.struct("file_id", "score")).alias("x")).select(F.col("x.file_id").alias("id"), F.col("x.score").cast("double").alias("score"))
+    out = near.member_means(_near_files(spark, folder).groups(), blocks, F.col("score"))
+    return out.select(F.col("id").alias("file_id"), F.col("grp").alias("workspace_id"), "class_id", "n_links", F.col("mean_score").alias("mean_block_score"))
+
+
+@query("p1_weighted")
+def p1_weighted(spark, folder):
+    """Classes of files by the probability Jaccard of shingles weighted by how often they stand in a file."""
+    out = _near_files(spark, folder, weighted=True).groups()
+    return out.select(F.col("id").alias("file_id"), F.col("grp").alias("workspace_id"), "class_id", "n_links")
+
+
+# 3: long exact spans shared between records
+
+
+@query("p3_found")
+def p3_found(spark, folder):
+    return spans.shared_spans(table(spark, folder, "files"))
+
+
+@query("p3_shares")
+def p3_shares(spark, folder):
+    return spans.shared_parts(table(spark, folder, "files"))
+
+
+# 7: evaluation texts leaking into training text
+
+
+@query("p7_found")
+def p7_found(spark, folder):
+    return lk.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
+
+
+@query("p7_tolerant")
+def p7_tolerant(spark, folder):
+    """Passages of 16 words or more of which up to two were replaced, with their place and length in the document."""
+    return lk.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), least=16, errors=2)
+
+
+@query("p7_items")
+def p7_items(spark, folder):
+    """For each held-out item the number of documents it leaked into and the longest passage; items that didn't leak have 0."""
+    found = lk.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("words").alias("longest"))
+    items = table(spark, folder, "benchmark").select("item_id").distinct()
+    return items.join(found, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
+# 2: source files that do not parse
+
+
+def _parsed(spark, folder):
+    return syntax.parse_files(table(spark, folder, "files"), table(spark, folder, "workspaces"))
+
+
+@query("p2_found")
+def p2_found(spark, folder):
+    return _parsed(spark, folder).where("NOT valid").select("file_id")
+
+
+@query("p2_rates")
+def p2_rates(spark, folder):
+    """The rate of invalid files of each workspace and language."""
+    return syntax.rates(_parsed(spark, folder), "workspace_id", "lang")
+
+
+@query("p2_causes")
+def p2_causes(spark, folder):
+    """How many invalid files of each language have which first cause, and how many errors they have."""
+    bad = _parsed(spark, folder).where("NOT valid")
+    return bad.groupBy("lang", F.col("first_want").alias("wanted")).agg(F.count("*").alias("n_files"), F.sum("n_errors").alias("n_errors"))
+
+
+# 8: mixing sources to target weights
+
+
+@query("p8_corpus")
+def p8_corpus(spark, folder):
+    return mixing.Mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).corpus()
+
+
+@query("p8_shares")
+def p8_shares(spark, folder):
+    return mixing.Mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).shares()
+
+
+# 9: text quality
+
+
+@query("p9_found")
+def p9_found(spark, folder):
+    return prose.quality(table(spark, folder, "documents")).where("NOT is_prose").select("doc_id")
+
+
+@query("p9_stats")
+def p9_stats(spark, folder):
+    return prose.quality(table(spark, folder, "documents"))
