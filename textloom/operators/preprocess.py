@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from textloom.functions import haskell_tokens, java_tokens
 from textloom.functions.columns import language_key, split_lines, trim_control
 from textloom.functions.java_tokens import COMMENT, DEFAULT, LONG_WHITESPACE, WHITESPACE
+from textloom.session import spread
 
 LEXERS: dict[str, Callable] = {"java": java_tokens.tokens, "haskell": haskell_tokens.tokens}
 #: Channels that each lexer fills. A strategy fits a lexer that has the channels it names.
@@ -36,7 +37,7 @@ def tokenise(files: DataFrame, id: str = "file_id", text: str = "content", lang:
             lists = [[dict(zip(("pos", "type", "text", "channel", "line"), t)) for t in x] for x in out]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, _ARROW)], names=["id", "lang", "tokens"])
 
-    return rows.mapInArrow(lex, f"id long, lang string, tokens {TOKENS}").withColumnRenamed("id", id)
+    return spread(rows).mapInArrow(lex, f"id long, lang string, tokens {TOKENS}").withColumnRenamed("id", id)
 
 
 def comments_only(tokens: Column) -> Column:

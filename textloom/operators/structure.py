@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions import haskell_tree, java_tree, trees
 from textloom.functions.columns import language_key
 from textloom.operators.pairs import submission_key
+from textloom.session import Stash, spread, tasks
 
 PARSERS: dict[str, Callable] = {"java": java_tree.tree, "haskell": haskell_tree.tree}
 NODE = "struct<node_id:int,parent_id:int,child_ix:int,kind:string,value:string,start_line:int,start_char:int,end_line:int,end_char:int,weight:int,height:int,bfs_ix:int,post_ix:int,fp_strict:string,fp_abstract:string>"
@@ -43,7 +44,7 @@ def parse(files: DataFrame, id: str = "file_id", text: str = "content", lang: st
                 problems.append(problem)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, _NODES), pa.array(variables, _VARIABLES), pa.array(problems, pa.string())], names=["id", "lang", "nodes", "variables", "problem"])
 
-    return rows.mapInArrow(build, f"id long, lang string, nodes array<{NODE}>, variables array<struct<line:int,value:string>>, problem string").withColumnRenamed("id", id)
+    return spread(rows).mapInArrow(build, f"id long, lang string, nodes array<{NODE}>, variables array<struct<line:int,value:string>>, problem string").withColumnRenamed("id", id)
 
 
 def nodes(parsed: DataFrame, id: str = "file_id") -> DataFrame:
@@ -78,21 +79,35 @@ def variable_matches(declared: DataFrame) -> DataFrame:
 # trees
 
 
+#: Columns of a packed tree; -1 stands for null.
+PACKED = ("parent", "kind", "start", "end", "weight", "height", "bfs", "post", "print")
+
+
+def pack(rows: list[dict], abstract: bool) -> tuple[bytes, list[int]]:
+    """A tree as a matrix of numbers, kinds and fingerprints as hashes of them; and its different (height, fingerprint) as keys."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    m = np.empty((len(PACKED), len(rows)), np.int64)
+    none = lambda name: [-1 if r[name] is None else r[name] for r in rows]
+    m[0], m[2], m[3] = none("parent_id"), none("start_line"), none("end_line")
+    m[1] = np.array([digest(r["kind"]) for r in rows], np.uint64).view(np.int64)
+    m[4], m[5], m[6], m[7] = ([r[c] for r in rows] for c in ("weight", "height", "bfs_ix", "post_ix"))
+    m[8] = np.array([int(r["fp_abstract" if abstract else "fp_strict"][:16], 16) for r in rows], np.uint64).view(np.int64)
+    return m.tobytes(), m[8].tolist()
+
+
 class Tree:
-    """Arrays over the preorder of a tree."""
+    """Lists over the preorder of a tree."""
 
-    __slots__ = ("parent", "kind", "start", "end", "weight", "height", "bfs", "post", "print", "kids")
+    __slots__ = ("parent", "kind", "start", "end", "weight", "height", "bfs", "post", "print", "rank")
 
-    def __init__(self, rows: list[dict], abstract: bool):
-        self.parent = [-1 if r["parent_id"] is None else r["parent_id"] for r in rows]
-        self.kind = [r["kind"] for r in rows]
-        self.start = [r["start_line"] for r in rows]
-        self.end = [r["end_line"] for r in rows]
-        self.weight = [r["weight"] for r in rows]
-        self.height = [r["height"] for r in rows]
-        self.bfs = sorted(range(len(rows)), key=lambda i: rows[i]["bfs_ix"])
-        self.post = sorted(range(len(rows)), key=lambda i: rows[i]["post_ix"])
-        self.print = [r["fp_abstract" if abstract else "fp_strict"] for r in rows]
+    def __init__(self, packed: bytes):
+        m = np.frombuffer(packed, np.int64).reshape(len(PACKED), -1)
+        self.parent, self.kind, self.start, self.end, self.weight, self.height = (m[k].tolist() for k in range(6))
+        self.rank = m[6].tolist()
+        self.bfs, self.post = np.argsort(m[6]).tolist(), np.argsort(m[7]).tolist()
+        self.print = m[8].tolist()
 
 
 def match_trees(one: Tree, two: Tree, least_height: int, least_dice: float) -> list[tuple[int, int, int, int, float, int, int]]:
@@ -121,7 +136,7 @@ def match_trees(one: Tree, two: Tree, least_height: int, least_dice: float) -> l
             continue
         j = line.popleft()
         w = one.weight[i]
-        if one.start[i] is not None and two.start[j] is not None:
+        if one.start[i] >= 0 and two.start[j] >= 0:
             out.append((one.start[i], one.end[i], two.start[j], two.end[j], 1.0, w, two.weight[j]))
         for k in range(w):
             partner[i + k] = j + k
@@ -147,7 +162,7 @@ def match_trees(one: Tree, two: Tree, least_height: int, least_dice: float) -> l
                 common[j] = common.get(j, 0) + 1
                 j = two.parent[j]
         best, best_dice = -1, np.float32(0)
-        order = sorted((j for j in common if not taken2[j] and two.kind[j] == one.kind[i]), key=_position(two))
+        order = sorted((j for j in common if not taken2[j] and two.kind[j] == one.kind[i]), key=two.rank.__getitem__)
         for j in order:
             dice = np.float32(2 * common[j]) / np.float32(w + two.weight[j])
             if dice > best_dice:
@@ -158,7 +173,7 @@ def match_trees(one: Tree, two: Tree, least_height: int, least_dice: float) -> l
         own1, own2 = w - hidden1, two.weight[best] - hidden2
         if own1 <= 0 or own2 <= 0:
             continue
-        if one.start[i] is not None and two.start[best] is not None:
+        if one.start[i] >= 0 and two.start[best] >= 0:
             out.append((one.start[i], one.end[i], two.start[best], two.end[best], float(best_dice), own1, own2))
         p = one.parent[i]
         while p >= 0:
@@ -173,12 +188,6 @@ def match_trees(one: Tree, two: Tree, least_height: int, least_dice: float) -> l
     return out
 
 
-def _position(tree: Tree):
-    if not hasattr(tree, "kids") or tree.kids is None:
-        tree.kids = {j: k for k, j in enumerate(tree.bfs)}
-    return tree.kids.__getitem__
-
-
 def tree_matches(parsed: DataFrame, files: DataFrame, least_height: int = 5, least_dice: float = 0.8, abstract: bool = True, id: str = "file_id", group: str = "workspace_id") -> DataFrame:
     """Matches of the trees of all pairs of files of different submissions of a group and the same language.
 
@@ -187,23 +196,34 @@ def tree_matches(parsed: DataFrame, files: DataFrame, least_height: int = 5, lea
     """
     known = files.where(F.col(id).isNotNull() & F.col(group).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), submission_key("submission", id).alias("sub")).dropDuplicates(["id"])
     t = parsed.select(F.col(id).alias("id"), "lang", "nodes").dropDuplicates(["id"]).join(known, "id")
-    print_ = "fp_abstract" if abstract else "fp_strict"
-    high = F.array_distinct(F.transform(F.filter("nodes", lambda n: n["height"] >= least_height), lambda n: F.xxhash64(n["height"], n[print_])))
-    keys = t.select("id", "grp", "sub", F.explode(high).alias("key"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees_, keys = [], []
+            for rows in batch.column(3):
+                rows = rows.as_py()
+                tree, prints = pack(rows, abstract)
+                trees_.append(tree)
+                keys.append(sorted({p for p, r in zip(prints, rows) if r["height"] >= least_height}))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(trees_, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "grp", "sub", "tree", "keys"])
+
+    stash = Stash(files.sparkSession)
+    t = stash.keep(spread(t.select("id", "grp", "sub", "nodes")).mapInArrow(packed, "id long, grp long, sub string, tree binary, keys array<long>"))
+    keys = t.select("id", "grp", "sub", F.explode("keys").alias("key"))
     a = keys.select(F.col("id").alias("a"), "grp", F.col("sub").alias("sub_a"), "key")
     b = keys.select(F.col("id").alias("b"), "grp", F.col("sub").alias("sub_b"), "key")
     pairs = a.join(b, ["grp", "key"]).where("a < b AND sub_a <> sub_b").select("grp", "a", "b").distinct()
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("nodes").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("nodes").alias("tb")), "b").select("grp", "a", "b", "ta", "tb")
+    n_tasks = tasks(files.sparkSession)
+    both = pairs.join(t.select(F.col("id").alias("a"), F.col("tree").alias("ta")), "a").repartition(n_tasks, "b").join(t.select(F.col("id").alias("b"), F.col("tree").alias("tb")).repartition(n_tasks, "b"), "b").select("grp", "a", "b", "ta", "tb")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Tree] = {}
 
         def of(i: int, rows: pa.Scalar) -> Tree:
             if i not in seen:
-                if len(seen) >= 100:
+                if len(seen) >= 300:
                     seen.clear()
-                seen[i] = Tree(rows.as_py(), abstract)
-                seen[i].kids = None
+                seen[i] = Tree(rows.as_py())
             return seen[i]
 
         for batch in batches:

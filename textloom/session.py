@@ -72,3 +72,22 @@ class Stash:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Bytes below which Spark doesn't split what it scans.
+SPLIT = 4 << 20
+
+
+def tasks(spark: SparkSession) -> int:
+    """How many tasks stages are worth that take much longer for their rows than the size of these tells."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over as many tasks as there are cores, where the table is too small for Spark to split it that far.
+
+    Larger tables, whose scan has enough tasks of its own, are left as they are and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SPLIT * cores else df
