@@ -51,6 +51,8 @@ def paragraphs(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(ids: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unions of the spans [start, start + length) of each id, as (id, first, last); ids and starts in order."""
+    if not len(ids):
+        return ids, starts, starts
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + length)
     first = np.flatnonzero(new)
