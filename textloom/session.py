@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -53,6 +54,7 @@ class Stash:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._clean)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -66,8 +68,18 @@ class Stash:
         for df in frames:
             path = getattr(df, "_stash_path", None)
             if path:
-                hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    def _clean(self) -> None:
+        """At the end of the driver's Python; results are lazy and read these tables until then."""
+        try:
+            self._delete(self.root)
+        except Exception:  # the session is gone already
+            pass
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
