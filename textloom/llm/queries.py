@@ -97,7 +97,16 @@ def _near_files(spark, folder, **options):
     return near.near(table(spark, folder, "files"), **options)
 
 
-@query("p1_found")
+RESEMBLING = r"""
+WITH f AS (SELECT file_id, any_value(workspace_id) AS w, regexp_extract_all(any_value(content), '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]') AS t FROM files WHERE content IS NOT NULL AND workspace_id IS NOT NULL GROUP BY file_id),
+s AS (SELECT DISTINCT w, file_id, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM f WHERE len(t) >= 5),
+n AS (SELECT file_id, count(*) AS n FROM s GROUP BY file_id),
+c AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS c FROM s a JOIN s b ON a.w = b.w AND a.s = b.s AND a.file_id < b.file_id GROUP BY ALL)
+SELECT a AS file_id_a, b AS file_id_b FROM c JOIN n x ON x.file_id = a JOIN n y ON y.file_id = b WHERE c.c >= 0.5 * (x.n + y.n - c.c)
+"""
+
+
+@query("p1_found", RESEMBLING)
 def p1_found(spark, folder):
     return _near_files(spark, folder).pairs().select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
 
@@ -120,7 +129,17 @@ def p1_weighted(spark, folder):
 # 3: long exact spans shared between records
 
 
-@query("p3_found")
+SPANS = r"""
+WITH f AS (SELECT file_id, string_split(regexp_replace(replace(any_value(content), chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)) AS l FROM files WHERE content IS NOT NULL AND content <> '' GROUP BY file_id),
+w AS (SELECT file_id, unnest(range(1, len(l) - 6)) AS i, unnest(list_transform(range(1, len(l) - 6), lambda i: array_to_string(l[i:i + 7], chr(10)))) AS t FROM f WHERE len(l) >= 8),
+h AS (SELECT t FROM w GROUP BY t HAVING count(DISTINCT file_id) > 1),
+c AS (SELECT DISTINCT file_id, unnest(range(i, i + 8)) AS line FROM w JOIN h USING (t)),
+g AS (SELECT file_id, line, line - row_number() OVER (PARTITION BY file_id ORDER BY line) AS run FROM c)
+SELECT file_id, min(line)::INT AS start_line, max(line)::INT AS end_line FROM g GROUP BY file_id, run
+"""
+
+
+@query("p3_found", SPANS)
 def p3_found(spark, folder):
     return spans.shared_spans(table(spark, folder, "files"))
 
@@ -133,7 +152,14 @@ def p3_shares(spark, folder):
 # 7: evaluation texts leaking into training text
 
 
-@query("p7_found")
+LEAKED = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+y AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM b WHERE len(w) >= 12)
+"""
+
+
+@query("p7_found", LEAKED + "SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)")
 def p7_found(spark, folder):
     return lk.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
