@@ -23,10 +23,11 @@ _NODES = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for
 _VARIABLES = pa.list_(pa.struct([("line", pa.int32()), ("value", pa.string())]))
 
 
-def parse(files: DataFrame, id: str = "file_id", text: str = "content", lang: str = "lang") -> DataFrame:
+def parse(files: DataFrame, id: str = "file_id", text: str = "content", lang: str = "lang", with_nodes: bool = True) -> DataFrame:
     """(id, lang, nodes, variables, problem), one row for each file with a text and a known language.
 
-    A file that doesn't parse has the one node UNKNOWN and says why in ``problem``; an empty one has its root alone.
+    A file that doesn't parse has the one node UNKNOWN and says why in ``problem``; an empty one has its root alone. Without
+    ``with_nodes`` the nodes are left out, for those who only want the declarations.
     """
     rows = files.select(F.col(id).cast("long").alias("id"), language_key(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(*PARSERS))
@@ -39,7 +40,7 @@ def parse(files: DataFrame, id: str = "file_id", text: str = "content", lang: st
             nodes, variables, problems = [], [], []
             for lang, text in zip(b.column(1).to_pylist(), b.column(2)):
                 root, found, problem = parsers[lang](text.as_py())
-                nodes.append([dict(zip(names, r)) for r in trees.rows(root, lang)])
+                nodes.append([dict(zip(names, r)) for r in trees.rows(root, lang)] if with_nodes else [])
                 variables.append([{"line": n, "value": v} for n, v in found])
                 problems.append(problem)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes, _NODES), pa.array(variables, _VARIABLES), pa.array(problems, pa.string())], names=["id", "lang", "nodes", "variables", "problem"])

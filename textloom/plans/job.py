@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from textloom.functions.columns import display_name, language_key, line_count
 from textloom.operators import grouping, ngram, pairs, preprocess, scoring, skeleton, structure
 from textloom.plans.registry import SAME_NAME, DetectorSpec, ParamSpec, Registry, Template
-from textloom.session import Stash
+from textloom.session import Stash, tasks
 
 
 class Context:
-    """What the detectors of a job read; each artifact is made once."""
+    """What the detectors of a job read; each artifact is made once. ``trees`` says whether any of them reads trees."""
 
-    def __init__(self, files: DataFrame, workspaces: DataFrame):
+    def __init__(self, files: DataFrame, workspaces: DataFrame, trees: bool = True):
+        self.trees = trees
         self.spark: SparkSession = files.sparkSession
         self.stash = Stash(self.spark)
         lang = workspaces.where("workspace_id IS NOT NULL AND lang IS NOT NULL").groupBy("workspace_id").agg(F.min(language_key("lang")).alias("lang"))
-        clean = pairs.one_row_per_file(files.drop("lang") if "lang" in files.columns else files).where("content IS NOT NULL AND workspace_id IS NOT NULL")
+        # partitioned once, by the key of what follows; a number of tasks that Spark doesn't merge by size, for the parsers' sake
+        parted = (files.drop("lang") if "lang" in files.columns else files).repartition(tasks(self.spark), "file_id")
+        clean = pairs.one_row_per_file(parted).where("content IS NOT NULL AND workspace_id IS NOT NULL")
         self.files = clean.join(lang, "workspace_id").withColumn("n_lines", line_count("content"))
 
     @cached_property
@@ -38,7 +41,7 @@ class Context:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return self.stash.keep(structure.parse(self.files))
+        return self.stash.keep(structure.parse(self.files, with_nodes=self.trees))
 
     @cached_property
     def declared(self) -> DataFrame:
@@ -152,7 +155,7 @@ def run_job(files: DataFrame, workspaces: DataFrame, config: JobConfig | None =
     unknown = [d for d in config.detectors if d not in registry.detectors]
     if unknown:
         raise KeyError(f"no such detector: {unknown}")
-    ctx = Context(files, workspaces)
+    ctx = Context(files, workspaces, trees=config.detectors.keys() != {"VariableNameDetector"})
     found = ctx.stash.keep(detect(ctx, config, registry))
     own = skeleton.without_skeleton(found, ctx.skeleton_files, ["detector"])
     own = ctx.stash.keep(own)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import columns
 from textloom.operators import grouping, hierarchy, ngram, pairs, preprocess, scoring, skeleton, structure
 from textloom.plans import job, report
-from textloom.session import table
+from textloom.session import spread, table
 from textloom.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,13 +225,13 @@ _GRAMS = "SELECT {0}, unnest(list_filter(list_transform(range(1, greatest(length
 )
 def line_grams(spark, folder):
     """How many character 8-grams each document's lines have."""
-    lines = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.explode(columns.split_lines("text")).alias("l"))
-    grams = lines.select("doc_id", F.explode(columns.line_grams("l", 8)).alias("gram"))
+    docs = spread(table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text"))
+    grams = ngram.exploded_grams(docs.select("doc_id", F.explode(columns.split_lines("text")).alias("l")), ["doc_id"], "l", 8)
     return grams.groupBy("doc_id", "gram").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_grams"), F.count("*").alias("n_distinct"))
 
 
 def _same_named_lines(spark, folder):
-    p = pairs.file_pairs(table(spark, folder, "files"), same_name=True).drop("workspace_id")
+    p = spread(pairs.file_pairs(table(spark, folder, "files"), same_name=True).drop("workspace_id"))
     t = _files(spark, folder).where("content IS NOT NULL").select("file_id", columns.text_lines("content").alias("l"))
     return p.join(t.withColumnsRenamed({"file_id": "file1_id", "l": "l1"}), "file1_id").join(t.withColumnsRenamed({"file_id": "file2_id", "l": "l2"}), "file2_id")
 
@@ -249,8 +249,8 @@ def multiset_jaccard(spark, folder):
     return ngram.multiset_jaccard(_same_named_lines(spark, folder), "l1", "l2", ["file1_id", "file2_id"]).withColumn("similarity", F.round("similarity", 9))
 
 
-def _context(spark, folder):
-    return job.Context(table(spark, folder, "files").drop("loaded_at"), table(spark, folder, "workspaces"))
+def _context(spark, folder, trees=True):
+    return job.Context(table(spark, folder, "files").drop("loaded_at"), table(spark, folder, "workspaces"), trees)
 
 
 @query("window_candidates")
@@ -311,17 +311,17 @@ def tree_matches(spark, folder):
 
 @query("declarations")
 def declarations(spark, folder):
-    return _context(spark, folder).declared
+    return _context(spark, folder, trees=False).declared
 
 
 @query("variable_matches")
 def variable_matches(spark, folder):
-    return structure.variable_matches(_context(spark, folder).declared)
+    return structure.variable_matches(_context(spark, folder, trees=False).declared)
 
 
 @query("variable_groups")
 def variable_groups(spark, folder):
-    return grouping.variable_groups(_context(spark, folder).declared)
+    return grouping.variable_groups(_context(spark, folder, trees=False).declared)
 
 
 # Matches and blocks of the test tables
