@@ -67,6 +67,36 @@ def test_haskell_rejects(text):
     assert syntax_haskell.errors(text)
 
 
+@pytest.mark.parametrize("text", HASKELL_BAD)
+def test_haskell_rejects_all(text):
+    assert syntax_haskell.errors(text)
+
+
+HEADS_GOOD = [
+    "data Eq a => T a = A", "data (Eq a, Show (f a)) => T f a = A", "data () => T = A", "newtype Ord (f Int) => N f = N (f Int)", "class C a", "class (Eq a, M.Ord a) => C a where", "class () => C a", "instance M.C M.T", "instance (Eq a, Eq b) => C (a, b)",
+    "instance C ()", "instance C []", "instance C [a]", "instance C (->)", "instance C (,)", "instance C (,,)", "instance C (a -> b)", "instance C (Either e)", "instance C ((->) r)", "instance C ((,) a)", "instance C ([] a)", "instance C (T)", "type S a b = a -> [b]",
+    "data T = [a] :+ !Int | !Int `B` [a] | Maybe a :* Maybe b | (:-) Int !a | A | B !Int (a -> b) ![c]", "data T = (:+) { a, b :: !Int, (+++) :: a -> b } | A {}", "newtype N a = N { un :: a -> b }", "newtype N a = (:+) [a]", "newtype N = N { (+++) :: Int }",
+    "f :: () => Int\nf = 1", "f :: Eq (m a) => m a\nf = 1", "f :: (M.Eq a, Show (m a b)) => m a b\nf = 1",
+]
+HEADS_BAD = [
+    "data tree = Leaf", "data T = red | blue", "class monoid a where", "type [a] = b", "data T = Int :+", "data T = :+ Int", "data T = A | ", "data T A = B", "data T [a] = B", "data M.T = A", "newtype n = N Int", "newtype N = N", "newtype N = N Int Int", "newtype N = N !Int",
+    "newtype N = N { a, b :: Int }", "newtype N = N { a :: Int, b :: Int }", "newtype N = Int :+ Int", "newtype N = n Int", "data T = M.A", "data T = !Int", "data T = (Int)", "data T = [Int]", "data T = A !Int :+ Int", "data T = (:+) Int :+ Int", "data T = Int :+ Int :+ Int",
+    "data T = Int : Int", "data T = Int `b` Int", "data T = A { b :: !Maybe Int }", "data T = A { B :: Int }", "type T = ", "type T a B = a", "type t = Int", "class C", "class C A", "class C a b", "class C (f a)", "class M.C a", "class a => C a",
+    "class Eq [a] => C a", "class Eq (f a) => C f", "instance C", "instance c Int", "instance C a", "instance C [Int]", "instance C (Maybe Int)", "instance C Maybe a", "instance C (a)", "instance C (a b)", "instance C (a, Int)", "instance C (a -> Int)",
+    "instance Eq (f a) => C (T f)", "instance eq a => C (T a)", "data a => T a = A", "data Eq Int => T = A", "data Eq (f) => T f = A", "f :: a => Int", "f :: Eq (Maybe a) => a", "f :: (Eq a => b) => a", "f :: Eq => a", "f :: (Eq a) => ",
+]
+
+
+@pytest.mark.parametrize("text", HEADS_GOOD)
+def test_haskell_accepts_heads(text):
+    assert syntax_haskell.errors(text) == []
+
+
+@pytest.mark.parametrize("text", HEADS_BAD)
+def test_haskell_rejects_heads(text):
+    assert syntax_haskell.errors(text)
+
+
 def test_recovery_finds_the_errors_behind():
     java = "class A {\n  void f() {\n    int x = ;\n    g();\n  }\n  void h() {\n    y = 1 2;\n    if (a { }\n  }\n  int z;\n}\n"
     assert [line for line, _ in syntax_java.errors(java)] == [3, 7, 8]

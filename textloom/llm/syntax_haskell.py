@@ -684,10 +684,100 @@ class Parser:
         return False
 
     def type_with_context(self):
+        if self.context_ahead():
+            self.context(False)
         self.type()
-        if self.tok() == "⇒":
+
+    def context_ahead(self) -> bool:
+        k, p = self.k, self.p
+        while k[p] in VARS or k[p] in "CQ()[],→":
+            p += 1
+        return k[p] == "⇒"
+
+    def context(self, simple: bool):
+        """Assertions and ``=>``; in a simple one, of class and instance heads, only type variables are asserted."""
+        if self.tok() == "(":
             self.p += 1
-            self.type()
+            if self.tok() != ")":
+                while True:
+                    self.assertion(simple)
+                    if self.tok() != ",":
+                        break
+                    self.p += 1
+            self.need(")")
+        else:
+            self.assertion(simple)
+        self.need("⇒", "=>")
+
+    def assertion(self, simple: bool):
+        self.one_of("CQ", "class")
+        if self.tok() == "(" and not simple:
+            self.p += 1
+            self.one_of(VARS, "type variable")
+            self.btype()
+            self.need(")")
+        else:
+            self.one_of(VARS, "type variable")
+
+    def one_of(self, kinds: frozenset | str, want: str):
+        if self.tok() not in kinds:
+            self.fail(want)
+        self.p += 1
+
+    def simple_type(self):
+        """A type constructor and its variables: the head of a data, newtype or type declaration."""
+        self.one_of("C", "type constructor")
+        while self.tok() in VARS:
+            self.p += 1
+
+    def instance_type(self):
+        """A type constructor; or in brackets one with variables, a tuple or list of variables, or a function between two."""
+        t = self.tok()
+        if t == "[":
+            self.p += 1
+            if self.tok() != "]":
+                self.one_of(VARS, "type variable")
+            self.need("]")
+        elif t != "(":
+            self.one_of("CQ", "type constructor")
+        else:
+            self.p += 1
+            t = self.tok()
+            if t == "→":
+                self.p += 1
+            elif t == ",":
+                while self.tok() == ",":
+                    self.p += 1
+            elif t in VARS:
+                self.p += 1
+                if self.tok() == "→":
+                    self.p += 1
+                    self.one_of(VARS, "type variable")
+                else:
+                    if self.tok() != ",":
+                        self.fail(", or ->")
+                    while self.tok() == ",":
+                        self.p += 1
+                        self.one_of(VARS, "type variable")
+            elif t != ")":
+                if t in "([":
+                    self.constructor_in_brackets()
+                else:
+                    self.one_of("CQ", "type constructor")
+                while self.tok() in VARS:
+                    self.p += 1
+            self.need(")")
+
+    def constructor_in_brackets(self):
+        """(), [], (->) or (,) as a type constructor."""
+        end = ")" if self.tok() == "(" else "]"
+        self.p += 1
+        if end == ")" and self.tok() == "→":
+            self.p += 1
+        elif end == ")":
+            while self.tok() == ",":
+                self.p += 1
+        self.need(end)
 
     def type(self):
         self.btype()
@@ -737,16 +827,18 @@ class Parser:
         t = self.tok()
         if t == DATA or t == NEWTYPE:
             self.p += 1
-            self.btype()
-            if self.tok() == "⇒":
-                self.p += 1
-                self.btype()
+            if self.context_ahead():
+                self.context(False)
+            self.simple_type()
             if self.tok() == "=":
                 self.p += 1
-                self.constructor()
-                while t == DATA and self.tok() == "|":
-                    self.p += 1
+                if t == NEWTYPE:
+                    self.new_constructor()
+                else:
                     self.constructor()
+                    while self.tok() == "|":
+                        self.p += 1
+                        self.constructor()
             elif t == NEWTYPE:
                 self.fail("=")
             if self.tok() == DERIVING:
@@ -768,15 +860,19 @@ class Parser:
                     self.fail("class")
         elif t == TYPE:
             self.p += 1
-            self.btype()
+            self.simple_type()
             self.need("=")
             self.type()
         elif t == CLASS or t == INSTANCE:
             self.p += 1
-            self.btype()
-            if self.tok() == "⇒":
-                self.p += 1
-                self.btype()
+            if self.context_ahead():
+                self.context(True)
+            if t == CLASS:
+                self.one_of("C", "class")
+                self.one_of(VARS, "type variable")
+            else:
+                self.one_of("CQ", "class")
+                self.instance_type()
             if self.tok() == WHERE:
                 self.p += 1
                 self.block(self.declaration)
@@ -794,25 +890,57 @@ class Parser:
         else:
             self.declaration()
 
-    def constructor(self):
-        strict = lambda: self.tok() == "!"
-        if self.tok() == "(" and self.k[self.p + 1] in ":X" and self.k[self.p + 2] == ")":
+    def constructor_name(self) -> int:
+        """How many tokens a constructor's name has here: 1, 3 for an operator in parentheses, 0 if there is none."""
+        k, p = self.k, self.p
+        if self.tok() == "(" and k[p + 1] == "X" and k[p + 2] == ")":
+            return 3
+        return int(self.tok() == "C")
+
+    def constructor_operator(self) -> bool:
+        op = self.operator()
+        return op == "X" or op == "B" and self.k[self.p + 1] == "C"
+
+    def new_constructor(self):
+        """A constructor with one field."""
+        n = self.constructor_name()
+        if not n:
+            self.fail("constructor")
+        self.p += n
+        if self.tok() == "{":
+            self.p += 1
+            self.blocks.append(0)
+            self.field_name()
+            self.need("∷", "::")
+            self.type()
+            self.need("}")
+            self.blocks.pop()
+        else:
+            self.atype()
+
+    def field_name(self):
+        if self.tok() == "(" and self.k[self.p + 1] in SYMBOLS and self.k[self.p + 2] == ")":
             self.p += 3
-        elif self.tok() == "C" and self.k[self.p + 1] == "{":
-            self.p += 2
+        else:
+            self.one_of(VARS, "field")
+
+    def constructor(self):
+        """A constructor and its fields, or one that stands between two."""
+        start, n = self.p, self.constructor_name()
+        if n and self.k[start + n] == "{":
+            self.p += n + 1
             self.blocks.append(0)
             while self.tok() != "}":
-                while True:
-                    if self.tok() not in VARS:
-                        self.fail("field")
-                    self.p += 1
-                    if self.tok() != ",":
-                        break
+                self.field_name()
+                while self.tok() == ",":
                     self.p += 1
+                    self.field_name()
                 self.need("∷")
-                if strict():
+                if self.tok() == "!":
                     self.p += 1
-                self.type()
+                    self.atype()
+                else:
+                    self.type()
                 if self.tok() == ",":
                     self.p += 1
                     if self.tok() == "}":
@@ -822,24 +950,34 @@ class Parser:
             self.p += 1
             self.blocks.pop()
             return
-        elif strict():
+        strict = False
+        if n:
+            self.p += n
+        elif self.tok() == "!":
             self.p += 1
             self.atype()
+        elif self.starts_atype():
+            self.btype()
         else:
-            if self.tok() != "C" and not self.starts_atype():
-                self.fail("constructor")
-            self.atype()
-        while self.starts_atype() or strict():
-            if strict():
+            self.fail("constructor")
+        while n and (self.starts_atype() or self.tok() == "!"):
+            if self.tok() == "!":
+                strict = True
                 self.p += 1
             self.atype()
-        op = self.operator()
-        if op and op in ":XB":
-            self.take_operator()
-            while self.starts_atype() or strict():
-                if strict():
-                    self.p += 1
-                self.atype()
+        if not self.constructor_operator():
+            if not n:
+                self.p = start
+                self.fail("constructor")
+            return
+        if n == 3 or strict:
+            return
+        self.take_operator()
+        if self.tok() == "!":
+            self.p += 1
+            self.atype()
+        else:
+            self.btype()
 
     def import_(self):
         self.p += 1
