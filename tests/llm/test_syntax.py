@@ -103,6 +103,28 @@ def test_recovery_finds_the_errors_behind():
     assert [line for line, _ in syntax_haskell.errors("a = 1\nb = (\nc = 2\nd = )\ne = 3\n")] == [2, 4]
 
 
+@pytest.mark.parametrize(
+    "text, lines",
+    [
+        ("class C a where\n  f :: => a\n  g :: a\n  h = )\ninstance C Int where\n  f = 1 +) 2\n  g = 1\n  h = 2 = 3\n", [2, 4, 6, 8]),
+        ("f = do\n  a ]\n  b <- )\n  let x = = 1\n      y = 2 )\n  c\ng = 1\nh = )\n", [2, 3, 4, 5, 8]),
+        ("f x = y\n  where\n    a = )\n    b = 1\n    c = then\n", [3, 5]),
+        ("f x = case x of\n  1 -> )\n  2 -> 3\n  4 -> = 5\n", [2, 4]),
+        ("f = (do { a; b ]; c; = d; e }) )\n", [1, 1, 1]),
+        ("f = if a then do\n    b )\n    c\n    d ]\n  else do\n    e }\n    g\n", [2, 4, 6]),
+        ("f = let a = ) in let b = 1 in ]\n", [1, 1]),
+        ("  f = )\n  g = 1\n  h = ]\n", [1, 3]),
+        ("module A where {\nf = );\ng = 1;\nh = ]\n}\n", [2, 4]),
+        ("  f = 1\n g = 2\n h = )\n", [2, 3]),
+        ("f = g (do\n  a )\n  b)\ng = { \n", [3, 4]),
+        ("f = do\n  x <- 1\ng = )\n", [2, 3]),
+        ("f = do {\n a; )\n", [2, 2]),
+    ],
+)
+def test_haskell_goes_on_in_blocks(text, lines):
+    assert [line for line, _ in syntax_haskell.errors(text)] == lines
+
+
 def test_memory_changes_nothing():
     """What was parsed before is accepted alike, and what wasn't isn't."""
     good, bad = "class A { void f() { if (a > 1) { x = f(1); } } }", "class A { void f() { if (a > ) { x = f(1); } } }"

@@ -6,8 +6,10 @@ block, and a block also ends where the next token can't continue it (the rule th
 Expressions are parsed by precedence climbing as far as syntax goes: a minus sign can't follow an operator that binds as tightly.
 Patterns are read as expressions, and each is held against what only the one or the other may contain.
 
-After an error in a declaration that begins in the first column the parser goes on with the next one. Declarations parse alike
-in every file; those seen before are remembered by their kinds and columns.
+After an error the parser goes on with the next item of the innermost block around it. As blocks also end where the next token
+can't continue them, an item is only given up at a token that nothing around its block waits for (``Parser.open``). The first error
+is that of a parser without recovery. Declarations parse alike in every file; those seen before are remembered by their kinds and
+columns.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ KIND |= dict.fromkeys(("$", "$!", ">>", ">>=", "=<<", "||", "&&", "==", "/=", "<
 VAR, CON, QVAR, QCON, NUMBER, STRING, CHAR, OP, CONOP, WRONG, END = "v", "C", "w", "Q", "n", "s", "c", "x", "X", "E", " "
 (CASE, CLASS, DATA, DEFAULT, DERIVING, DO, ELSE, FOREIGN, IF, IMPORT, IN, INFIX, INFIXL, INFIXR, INSTANCE, LET, MODULE, NEWTYPE, OF, THEN, TYPE, WHERE) = (KIND[w] for w in KEYWORDS)
 LAYOUT = frozenset((DO, LET, OF, WHERE))
+#: What ends what follows a keyword; after ``if`` there is ``else`` as well.
+ENDS = {LET: IN, IF: THEN, CASE: OF}
 VARS = frozenset("vaqh")
 OPS = frozenset("opx!-X:~")
 SYMBOLS = frozenset("opx!-")
@@ -153,7 +157,7 @@ class Parser:
     """Over the kinds of one stretch. ``first[i]`` is the column of a token that is the first of its line, else 0; ``col[i]`` the
     column of a token where it is known."""
 
-    def __init__(self, stretch: str):
+    def __init__(self, stretch: str, recover: bool = False):
         k, first, col = [], [], []
         f = c = 0
         for ch in stretch:
@@ -174,6 +178,10 @@ class Parser:
         self.k, self.first, self.col, self.p, self.seen = k, first, col, 0, -1
         self.blocks: list[int] = []
         self.only_exp = self.only_pat = -1
+        self.recover = recover
+        self.noted: list[tuple[int, str]] = []
+        #: What each construct around waits for, and so may end a block in it.
+        self.open: list[str] = []
 
     def fail(self, want: str):
         raise Wrong(self.p, want)
@@ -213,16 +221,18 @@ class Parser:
         if self.k[p] == "{" and self.tok() == "{":
             self.p += 1
             self.blocks.append(0)
+            self.open.append("}")
             while self.tok() == ";":
                 self.p += 1
             while self.tok() != "}":
-                item()
+                self.attempt(item)
                 if self.tok() == ";":
                     while self.tok() == ";":
                         self.p += 1
                 elif self.tok() != "}":
                     self.fail("; or }")
             self.blocks.pop()
+            self.open.pop()
             self.p += 1
             return
         around = next((b for b in reversed(self.blocks)), 0)
@@ -239,13 +249,76 @@ class Parser:
                 else:
                     self.seen = self.p
             t = self.tok()
-            if t == "\r" or t in ")]},` " or t in (THEN, ELSE, OF, IN, WHERE):
+            if t == "\r" or (t in ")]},` " or t in (THEN, ELSE, OF, IN, WHERE)) and (not self.recover or self.awaited(t)):
                 break
-            item()
+            self.attempt(item)
             if self.tok() not in (";", "\n"):
                 break
         del self.blocks[depth - 1 :]
 
+    # recovery
+
+    def attempt(self, item):
+        """An item of a block; in recovery an error in it is noted, and what is left of it skipped."""
+        if not self.recover:
+            item()
+            return
+        if self.k[self.p] == END:
+            self.fail("}")
+        start, blocks, opened, only = self.p, list(self.blocks), list(self.open), (self.only_exp, self.only_pat)
+        try:
+            item()
+            if not self.ends_item():
+                self.fail("end of item")
+        except Wrong as e:
+            self.noted.append((e.at, e.want))
+            self.blocks, self.open = blocks, opened
+            self.only_exp, self.only_pat = only
+            self.skip(start, e.at)
+
+    def awaited(self, t: str) -> bool:
+        """Whether something around waits for this token, seen from within the innermost brackets."""
+        for o in reversed(self.open):
+            if t in o:
+                return True
+            if o[0] in ")]}":
+                break
+        return False
+
+    def ends_item(self) -> bool:
+        t = self.tok()
+        if not self.blocks[-1]:
+            return t in ";}"
+        if t in ";\n\r" or self.awaited(t):
+            return True
+        op = self.operator()
+        # one that stands before a parenthesis ends a section
+        return bool(op) and (self.k[self.p + (3 if op in "bB" else 1)] != ")" or self.awaited(")"))
+
+    def skip(self, start: int, at: int):
+        """To the end of the item that began at ``start``, from an error on: a token that begins the next one or ends the block."""
+        k, first, b, p, depth = self.k, self.first, self.blocks[-1], start, 0
+        inner = dict.fromkeys((IN, THEN, ELSE, OF), 0)
+        while k[p] != END:
+            t = k[p]
+            if p > start and p >= at:
+                if b and 0 < first[p] <= b:
+                    break
+                if not depth and (t == ";" or t in ")]}," and self.awaited(t) or t in inner and not inner[t] and self.awaited(t)):
+                    break
+            if t in "([{":
+                depth += 1
+            elif t in ")]}":
+                depth = max(0, depth - 1)
+            elif t in ENDS:
+                inner[ENDS[t]] += 1
+                if t == IF:
+                    inner[ELSE] += 1
+            elif t in inner:
+                inner[t] = max(0, inner[t] - 1)
+            p += 1
+        self.p, self.seen = p, -1
+
     # patterns read as expressions
 
     def pattern(self, read):
@@ -336,23 +409,30 @@ class Parser:
         elif t == LET:
             self.is_exp(self.p)
             self.p += 1
+            self.open.append(IN)
             self.block(self.declaration)
+            self.open.pop()
             self.need(IN, "in")
             self.expression()
         elif t == IF:
             self.is_exp(self.p)
             self.p += 1
+            self.open.append(THEN)
             self.expression()
             self.optional_semicolon(THEN)
             self.need(THEN, "then")
+            self.open[-1] = ELSE
             self.expression()
             self.optional_semicolon(ELSE)
+            self.open.pop()
             self.need(ELSE, "else")
             self.expression()
         elif t == CASE:
             self.is_exp(self.p)
             self.p += 1
+            self.open.append(OF)
             self.expression()
+            self.open.pop()
             self.need(OF, "of")
             self.block(self.alternative)
         elif t == DO:
@@ -378,6 +458,7 @@ class Parser:
         last = [""]
 
         def item():
+            last[0] = "e"
             last[0] = self.statement()
 
         self.block(item)
@@ -386,12 +467,15 @@ class Parser:
 
     def statement(self) -> str:
         if self.tok() == LET:
-            save, blocks, seen = self.p, list(self.blocks), self.seen
+            save, blocks, seen, n = self.p, list(self.blocks), self.seen, len(self.noted)
             self.p += 1
+            self.open.append(IN)
             self.block(self.declaration)
+            self.open.pop()
             if self.tok() != IN:
                 return "l"
             self.p, self.blocks, self.seen = save, blocks, seen
+            del self.noted[n:]
         return "b" if self.bind_or_exp() else "e"
 
     def bind_or_exp(self) -> bool:
@@ -436,13 +520,19 @@ class Parser:
             self.aexp()
             return
         elif t == "(":
+            self.open.append("),")
             self.parenthesized()
+            self.open.pop()
         elif t == "[":
+            self.open.append("],|…")
             self.bracketed()
+            self.open.pop()
         else:
             self.fail("expression")
         while self.tok() == "{":
+            self.open.append("},")
             self.record()
+            self.open.pop()
 
     def record(self):
         self.p += 1
@@ -548,12 +638,15 @@ class Parser:
 
     def qualifier(self):
         if self.tok() == LET:
-            save, blocks, seen = self.p, list(self.blocks), self.seen
+            save, blocks, seen, n = self.p, list(self.blocks), self.seen, len(self.noted)
             self.p += 1
+            self.open.append(IN)
             self.block(self.declaration)
+            self.open.pop()
             if self.tok() != IN:
                 return
             self.p, self.blocks, self.seen = save, blocks, seen
+            del self.noted[n:]
         self.bind_or_exp()
 
     def alternative(self):
@@ -565,21 +658,25 @@ class Parser:
 
     def right_side(self, sign: str):
         t = self.tok()
+        self.open.append(WHERE)
         if t == sign:
             self.p += 1
             self.expression()
         elif t == "|":
             while self.tok() == "|":
                 self.p += 1
+                self.open[-1] = sign + ","
                 while True:
                     self.qualifier()
                     if self.tok() != ",":
                         break
                     self.p += 1
                 self.need(sign)
+                self.open[-1] = "|" + WHERE
                 self.expression()
         else:
             self.fail(sign)
+        self.open.pop()
         if self.tok() == WHERE:
             self.p += 1
             self.block(self.declaration)
@@ -1054,55 +1151,82 @@ _known: dict[str, tuple[bool, list[tuple[int, str]]]] = {}
 MOST = 200_000
 
 
-def _top_level(stretch: str, imports: bool) -> list[tuple[int, str]]:
-    """Errors, by token, of what begins in the first column and is the only item of its block."""
+def _errors(stretch: str, read) -> list[tuple[int, str]]:
+    """Errors, by token, of what ``read`` reads with a parser: the one that ends it and, with recovery, those behind."""
     parser = Parser(stretch)
-    column = parser.first[0]
-    parser.blocks.append(column)
-    parser.seen = 0
     try:
-        while parser.tok() == ";":
-            parser.p += 1
-        while parser.tok() != "\r":
+        read(parser)
+        return []
+    except Wrong as e:
+        found = [(e.at, e.want)]
+    except RecursionError:
+        return [(parser.p, "less nesting")]
+    parser = Parser(stretch, True)
+    try:
+        read(parser)
+    except Wrong as e:
+        parser.noted.append((e.at, e.want))
+    except RecursionError:
+        parser.noted.append((parser.p, "less nesting"))
+    for at, want in sorted(parser.noted, key=lambda e: e[0]):
+        if at > found[-1][0]:
+            found.append((at, want))
+    return found
+
+
+def _top_level(stretch: str, imports: bool) -> list[tuple[int, str]]:
+    """Errors, by token, of what begins in the first column and is the only item of its block."""
+
+    def read(parser: Parser):
+        def item():
             if parser.tok() == IMPORT:
                 if not imports:
                     parser.fail("declaration")
                 parser.import_()
             else:
                 parser.top()
+
+        parser.blocks.append(parser.first[0])
+        parser.seen = 0
+        while parser.tok() == ";":
+            parser.p += 1
+        while parser.tok() != "\r":
+            parser.attempt(item)
             if parser.tok() == ";":
                 while parser.tok() == ";":
                     parser.p += 1
             elif parser.tok() != "\r":
                 parser.fail("end of declaration")
-    except Wrong as e:
-        return [(e.at, e.want)]
-    except RecursionError:
-        return [(parser.p, "less nesting")]
-    return []
+
+    return _errors(stretch, read)
 
 
 def _whole(stretch: str) -> list[tuple[int, str]]:
     """Errors of a body that isn't in the first column, or in braces."""
-    parser = Parser(stretch)
-    imports = [True]
 
-    def item():
-        if parser.tok() == IMPORT and imports[0]:
-            parser.import_()
-        else:
-            imports[0] = False
-            parser.top()
+    def read(parser: Parser):
+        imports = True
+
+        def item():
+            nonlocal imports
+            if parser.tok() == IMPORT and imports:
+                parser.import_()
+            else:
+                imports = False
+                parser.top()
 
-    try:
         parser.block(item)
-        if parser.k[parser.p] != END:
-            parser.fail("end of file")
-    except Wrong as e:
-        return [(e.at, e.want)]
-    except RecursionError:
-        return [(parser.p, "less nesting")]
-    return []
+        while parser.k[parser.p] != END:
+            if not parser.recover:
+                parser.fail("end of file")
+            # what is left is read as a block of its own
+            p = parser.p
+            parser.noted.append((p, "end of file"))
+            parser.block(item)
+            while parser.p == p or not parser.first[parser.p] and parser.k[parser.p] != END:
+                parser.p += 1
+
+    return _errors(stretch, read)
 
 
 def errors(text: str) -> list[tuple[int, str]]:
