@@ -64,6 +64,21 @@ def test_masks_forgive_the_words_they_skip(spark):
         assert [r[:2] for r in run(spark, [(1, " ".join(words))], [(9, " ".join(WORDS[:12]))], errors=1)] == [(1, 9)]
 
 
+def test_masks_hit_every_placement():
+    assert lk.missed(lk.MASKS, 16, 2) == [(3, 4), (4, 5), (4, 8), (4, 12), (11, 12)]
+    assert lk.complete(lk.MASKS, 12, 0) == lk.MASKS and lk.complete(lk.MASKS, 16, 2) == (*lk.MASKS, lk.FOURTH)
+    for least, errors in [(12, 0), (12, 1), (12, 2), (13, 1), (14, 3), (16, 1), (16, 2), (16, 4), (20, 3), (12, 11)]:
+        masks = lk.complete(lk.MASKS, least, errors)
+        assert max(map(len, masks)) <= least and not lk.missed(masks, least, errors)
+    assert lk.complete(lk.MASKS, 100, 9)[3:] == ("1" * 10,)
+
+
+def test_every_two_substitutions_in_16_words_are_found(spark):
+    places = [(i, j) for i in range(16) for j in range(i + 1, 16)]
+    docs = [(n, " ".join("other" if k in p else w for k, w in enumerate(WORDS[:16]))) for n, p in enumerate(places)]
+    assert run(spark, docs, [(9, " ".join(WORDS[:16]))], least=16, errors=2) == [(n, 9, 1, 16, 2) for n in range(120)]
+
+
 def test_edges(spark):
     item = " ".join(WORDS[:12])
     docs = [(1, None), (None, item), (2, ""), (3, "  . "), (4, item), (4, item), (5, " ".join(["a"] * 30_000) + " " + item)]

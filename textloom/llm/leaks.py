@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +16,37 @@ from textloom.llm.hashing import WORD, TokenHash, hashed, mix, stream
 
 #: Masks over 12 words: 1 marks a word that has to agree, 0 one that is ignored. All begin and end with 1.
 MASKS = ("111010010111", "110110101011", "101111001101")
+#: With MASKS, hits every passage of 16 words with two substitutions.
+FOURTH = "11001101100111"
+#: Placements of substitutions that are tried one by one; where there are more, a run of intact words is relied on.
+MOST_PLACEMENTS = 200_000
 #: Bits of the filter that the corpus is held against before anything is shuffled: 2^22, half a megabyte whatever the items' number.
 FILTER_BITS = 22
 
 
+def missed(masks: tuple[str, ...], least: int, errors: int) -> list[tuple[int, ...]]:
+    """The placements of ``errors`` substitutions in a passage of ``least`` words of which no mask has a hit at any offset."""
+    hits = [sum(1 << o + j for j, bit in enumerate(m) if bit == "1") for m in masks for o in range(least - len(m) + 1)]
+    out = []
+    for places in combinations(range(least), errors):
+        changed = sum(1 << i for i in places)
+        if all(h & changed for h in hits):
+            out.append(places)
+    return out
+
+
+@lru_cache
+def complete(masks: tuple[str, ...], least: int, errors: int) -> tuple[str, ...]:
+    """The masks, and one more if they miss any placement of ``errors`` substitutions in ``least`` words: FOURTH if it hits all,
+    else the run of words that stays intact wherever the substitutions are."""
+    few = math.comb(least, errors) <= MOST_PLACEMENTS
+    if few and not missed(masks, least, errors):
+        return masks
+    if few and len(FOURTH) <= least and not missed((*masks, FOURTH), least, errors):
+        return (*masks, FOURTH)
+    return (*masks, "1" * math.ceil((least - errors) / (errors + 1)))
+
+
 def _seeds(h: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
     """For each mask the hashes of the words it minds, at every position at which it fits."""
     out = []
@@ -89,16 +119,16 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
     of which at most ``errors`` differ; of equally long ones, the one with fewer differing words, then the first.
 
     Words are the runs of a-z and 0-9 after lower-casing. Null ids and texts count nowhere; an item or document of fewer words
-    has no passage; repeated ids count once for each of their texts; empty tables give an empty result. Without errors every
-    passage is found, as a mask is no longer than a passage; with errors, those in which one mask falls on no differing word:
-    a window of 12 words with one substitution among those at 2 to 11 is missed by all masks only where every mask minds that word.
+    has no passage; repeated ids count once for each of their texts; empty tables give an empty result. Every
+    passage is found: the masks are completed so that one of them has a hit wherever the differing words are.
 
     Seeds of the documents are first held against a bit filter of fixed size over the seeds of the items; what passes is joined
     to the items' seeds by hash, in whatever way Spark's size check picks, so that neither side has to be small. Every hit is
     verified on the words of both texts around it.
     """
-    if max(map(len, masks)) > least or errors < 0:
-        raise ValueError("masks can't be longer than a passage, nor errors less than 0")
+    if max(map(len, masks)) > least or not 0 <= errors < least:
+        raise ValueError("masks can't be longer than a passage, nor errors less than 0 or as many as its words")
+    masks = complete(tuple(masks), least, errors)
     docs = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     items = items.select(F.col(item).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     wanted = _rows(items, masks, None)
