@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,13 @@ def test_coverage(spark):
     assert sorted(tuple(r) for r in report.without_inside(cut, "inside").collect()) == [(1, 1, 2), (1, 5, 7), (1, 9, 10), (2, 1, 3)]
 
 
+def test_line_json_has_all_matches(spark):
+    s = spark.createDataFrame([(1, 1, 1, 3), (1, 2, 2, 4), (1, 3, 2, 3), (1, 4, 9, 8), (2, 5, 1, 1)], "file_id long, match long, start int, end int")
+    got = {r["file_id"]: json.loads(r["json"]) for r in report.line_json(report.line_coverage(s, ["file_id"]), ["file_id"]).collect()}
+    assert got[1] == {"visible": {"1": 1, "2": 3, "3": 3, "4": 2}, "all": {"1": [1], "2": [1, 3, 2], "3": [1, 3, 2], "4": [2]}}
+    assert got[2] == {"visible": {"1": 5}, "all": {"1": [5]}}
+
+
 def test_report_details(spark):
     assert report.html_report([{"file_id": "<x>", "start_line": 3, "end_line": 3, "first_line": 2, "lines": ["a", "b & c"]}]).count("&amp;") == 1
     df = spark.createDataFrame([(0.799,), (0.8,)], "s double").select(report.at_least(F.col("s"), 80).alias("y"))

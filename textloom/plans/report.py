@@ -93,13 +93,15 @@ def submission_report(blocks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def line_coverage(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, line, visible, active): of spans (keys, match, start, end) the one on top at each line, and how many there are.
+    """(keys, line, visible, active, all): of spans (keys, match, start, end) the one on top at each line, how many there are, and
+    the matches of all of them, as they begin, end and by match.
 
     On top is the one that began last, of those the one that ends first, then the smallest match. Empty spans count nowhere.
     """
     lines = spans.where("start <= end").select(*keys, "match", "start", "end", F.explode(F.sequence("start", "end")).alias("line"))
     top = F.min(F.struct((-F.col("start")).alias("begin"), "end", "match"))
-    return lines.groupBy(*keys, "line").agg(top.alias("top"), F.count("*").alias("active")).select(*keys, "line", F.col("top.match").alias("visible"), "active")
+    every = F.array_sort(F.collect_list(F.struct("start", "end", "match")))["match"]
+    return lines.groupBy(*keys, "line").agg(top.alias("top"), F.count("*").alias("active"), every.alias("all")).select(*keys, "line", F.col("top.match").alias("visible"), "active", "all")
 
 
 def without_inside(spans: DataFrame, inside: str) -> DataFrame:
@@ -145,9 +147,9 @@ def match_json(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def line_json(coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, json): {visible: {line: match}} of each file."""
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("line").cast("string"), "visible"))))
-    return coverage.groupBy(*keys).agg(F.to_json(F.struct(entries.alias("visible"))).alias("json"))
+    """(keys, json): {visible: {line: match}, all: {line: [match, ...]}} of each file."""
+    entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("line").cast("string"), c)))).alias(c)
+    return coverage.groupBy(*keys).agg(F.to_json(F.struct(entries("visible"), entries("all"))).alias("json"))
 
 
 def statistics(workspaces: DataFrame, files: DataFrame) -> DataFrame:

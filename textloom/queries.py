@@ -509,6 +509,10 @@ BLOCKS = "bb AS (SELECT block_id, any_value(file_id) AS file_id, any_value(range
     f"WITH {BLOCKS}, r AS (SELECT block_id, file_id, unnest(ranges) AS r FROM bb), l AS (SELECT file_id, block_id, r.start_line AS s, r.end_line AS e, unnest(range(r.start_line, r.end_line + 1))::INT AS line FROM r), o AS (SELECT *, row_number() OVER (PARTITION BY file_id, line ORDER BY s DESC, e, block_id) AS n, count(*) OVER (PARTITION BY file_id, line) AS active FROM l) SELECT file_id, line, block_id AS visible, active FROM o WHERE n = 1",
 )
 def line_coverage(spark, folder):
+    return _coverage(spark, folder).drop("all")
+
+
+def _coverage(spark, folder):
     spans = _blocks(spark, folder).select("file_id", F.col("block_id").alias("match"), F.explode("ranges").alias("r")).select("file_id", "match", F.col("r.start_line").alias("start"), F.col("r.end_line").alias("end"))
     return report.line_coverage(spans, ["file_id"])
 
@@ -544,7 +548,7 @@ def graph_json(spark, folder):
 
 @query("line_json")
 def line_json(spark, folder):
-    return report.line_json(line_coverage(spark, folder), ["file_id"])
+    return report.line_json(_coverage(spark, folder), ["file_id"])
 
 
 # The whole job
