@@ -98,6 +98,23 @@ def test_added_submissions(spark, mode, want):
         store.add_submissions(old, new, ["submission"], 7)
 
 
+def test_merged_directories(spark):
+    rows = [
+        (1, None, "s"), (2, 1, "a"), (3, 2, "b"), (4, 1, None),
+        (10, None, "s"), (11, 10, "a"), (12, 11, "b"), (13, 11, "c"), (14, 13, "b"), (15, 10, None), (16, 12, "d"),
+        (20, None, "s"), (21, 20, "a"), (22, 21, "c"), (23, 22, "e"), (30, None, "t"), (31, 30, "a"), (40, 41, "x"), (41, 40, "y"),
+    ]
+    dirs = spark.createDataFrame(rows, "dir_id long, parent_id long, name string")
+    f = files(spark, [(i, 1, "s", "x", d) for i, d in enumerate([1, 3, 10, 11, 12, 13, 14, 15, 16, 22, 23, 31, 40, None])])
+    merged = spark.createDataFrame([(1, 10), (1, 20)], "existing long, pending long")
+    after, moved = store.merge_directories(dirs, f, hierarchy.nested_sets(dirs), merged)
+    assert sorted((r["dir_id"], r["parent_id"]) for r in after.where("dir_id <> 1 AND dir_id <> 30").collect()) == [(2, 1), (3, 2), (4, 1), (13, 2), (14, 13), (15, 1), (16, 3), (23, 13), (31, 30), (40, 41), (41, 40)]
+    assert sorted((r["file_id"], r["dir_id"]) for r in moved.where("dir_id IS NOT NULL").collect()) == list(enumerate([1, 3, 1, 2, 3, 13, 14, 15, 16, 13, 23, 31, 40]))
+    assert moved.count() == 14 and after.count() == 13 and set(after.columns) == {"dir_id", "parent_id", "name"}
+    paths = [r["p"] for r in hierarchy.nested_sets(after).where("NOT is_cycle").selectExpr("array_join(path, '/') AS p").collect()]
+    assert len(paths) == len(set(paths)) == 11
+
+
 def test_removal(spark):
     dirs = hierarchy.nested_sets(spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 1, "c"), (4, None, "d"), (5, 4, "e")], "dir_id long, parent_id long, name string"))
     f = files(spark, [(1, 1, "s", "x", 2), (2, 1, "t", "x", 3), (3, 1, "s", "x", 1), (4, 1, "s", "x", 4), (5, 1, "s", "x", 5), (6, 2, "s", "x", None)])

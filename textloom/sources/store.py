@@ -42,7 +42,7 @@ def collisions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def add_submissions(old: DataFrame, new: DataFrame, keys: list[str], mode: int = MERGE) -> DataFrame:
     """All files after an upload. Of submissions that are there already, REPLACE drops the old files, KEEP the new ones, and MERGE keeps
-    both. Files whose keys are null collide with nothing."""
+    both (``merge_directories`` then merges their directories). Files whose keys are null collide with nothing."""
     if mode == REPLACE:
         old = old.join(new.select(*keys).distinct(), keys, "left_anti")
     elif mode == KEEP:
@@ -52,6 +52,27 @@ def add_submissions(old: DataFrame, new: DataFrame, keys: list[str], mode: int =
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def merge_directories(dirs: DataFrame, files: DataFrame, tree: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Directories (dir_id, parent_id, ...) and files (dir_id, ...) after pending submissions are merged into existing ones.
+
+    ``tree`` is the nested sets of ``dirs``, ``merged`` has pairs (existing, pending) of roots; an existing one is pending in no pair.
+    A pending directory whose path below its root the existing submission has, or a pending one of a smaller id before it, goes:
+    its files and the directories in it move to that one, of several to the smallest dir_id. All others stay with what is in them.
+    A null name is like no other, as its path has the directory's id.
+    """
+    merged = merged.select(F.col("existing").cast("long").alias("existing"), F.col("pending").cast("long").alias("pending")).where("existing <> pending").groupBy("pending").agg(F.min("existing").alias("existing"))
+    sources = merged.select("existing", F.col("pending").alias("root_id"), F.lit(1).alias("late")).unionByName(merged.select("existing", F.col("existing").alias("root_id"), F.lit(0).alias("late")).distinct())
+    below = tree.where("NOT is_cycle").select("dir_id", "root_id", F.expr("slice(path, 2, size(path))").alias("below"))
+    placed = below.join(sources, "root_id").select("existing", "below", "late", "root_id", "dir_id")
+    first = placed.groupBy("existing", "below").agg(F.min(F.struct("late", "root_id", "dir_id")).alias("x")).select(F.col("existing").alias("_e"), F.col("below").alias("_b"), "x")
+    moved = placed.join(first, (F.col("existing") == F.col("_e")) & (F.col("below") == F.col("_b"))).where("root_id <> x.root_id").select(F.col("dir_id").alias("_dir"), F.col("x.dir_id").alias("_to"))
+
+    def to(rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(moved, F.col(key) == F.col("_dir"), "left").withColumn(key, F.coalesce("_to", key)).drop("_dir", "_to")
+
+    return to(dirs.join(moved.select(F.col("_dir").alias("dir_id")), "dir_id", "left_anti"), "parent_id"), to(files, "dir_id")
+
+
 def latest(files: DataFrame, key: str = "file_id", at: str = "loaded_at") -> DataFrame:
     """Of rows that repeat a key the one that was loaded last."""
     return files.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(at)))).where("_n = 1").drop("_n")
