@@ -1,6 +1,7 @@
 import glob
 import os
 
+import numpy as np
 import pytest
 
 from textloom.llm import prose
@@ -49,6 +50,44 @@ def test_layout_does_not_matter():
     assert flat == 1.0 and prose.statistics("\n".join("> " + x for x in lines))[1][-1] == 1.0 and prose.statistics("1. " + SENTENCES.upper())[1][-1] == 1.0
 
 
+@pytest.mark.parametrize("width", [18, 22, 26, 40, 70])
+def test_narrow_wrapping(width):
+    import textwrap
+
+    assert prose.statistics("\n".join(textwrap.wrap(SENTENCES, width)))[1][-1] == 1.0
+
+
+def test_entries_are_not_joined():
+    entries = "Skeleton and archive\nRename the short upload\nExample and archive\nToken and solution\nReview the long draft\nFinal appeal"
+    assert prose.statistics(entries)[1][-1] == 0.0
+
+
+def test_distance_alone_decides(spark):
+    rows = prose.quality(frame(spark, [SENTENCES * (1 + k % 3) for k in range(40)] + [LIST, TABLE, JUNK] * 4)).collect()
+    assert all(r["is_prose"] == (r["distance"] ** 2 <= prose.CUTOFF) for r in rows) and {r["is_prose"] for r in rows} == {True, False}
+
+
+def test_every_statistic_counts():
+    """The same document, with one statistic far off, is an outlier by that one alone, the share of sentences being that of prose."""
+    model = {prose.ALL: (prose.PRIOR[0], prose._inverse(prose.PRIOR[1]))}
+    for i in range(prose.K - 1):
+        x = prose.PRIOR[0].copy()
+        x[i] += 30 * prose.FLOOR[i]
+        d, c = prose.distances(np.array([x]), [""], model)
+        assert d[0] > prose.CUTOFF and c[0].argmax() == i
+
+
+def test_few_documents_are_drawn_to_all():
+    """A language's estimate moves from that of all to its own without a step."""
+    y = np.ones((1000, prose.K)) * 7
+    means = []
+    for n in (1, 49, 50, 51, 1000):
+        part = (n, np.r_[y[:n].sum(0), [(y[:n].T @ y[:n])[i, j] for i, j in prose.PAIRS]])
+        means.append(prose._pooled([part], *prose.PRIOR, prose.PRIOR_DOCUMENTS)[0][1])
+    steps = np.diff(means)
+    assert (steps > 0).all() and steps[1] < 0.02 and steps[2] < 0.02
+
+
 LABELLED = "/root/testdata/sf0.1"
 
 
