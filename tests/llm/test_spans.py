@@ -77,6 +77,25 @@ def test_parts_and_clusters(spark):
     assert got == {1: (8, 8, 1.0, 1), 2: (16, 16, 1.0, 1), 3: (10, 8, 0.8, 1), 4: (1, 0, 0.0, 4), 5: (0, 0, 0.0, 5)}
 
 
+def test_collisions_are_verified(spark, monkeypatch):
+    """The same lines in another order collide in the band and have similarity 1, but their edit distance isn't 0."""
+    monkeypatch.setattr(spans, "BLOCK", 8)
+    lines = [f"l{k}" for k in range(8)]
+    data = [(1, "\n".join(lines)), (2, "\n".join(reversed(lines))), (3, "\n".join(f"o{k}" for k in range(8)))]
+    rows = frame(spark, data).select("file_id", "content").toDF("id", "text")
+    candidates = {r["id"] for r in spans.collisions(spans._rows(rows.repartition(3, "id"), 8, False)).collect()}
+    assert candidates == {1, 2} and run(spark, data, 8) == []
+
+
+def test_the_band_loses_no_equal_paragraph():
+    r = random.Random(5)
+    for _ in range(50):
+        same = [f"{r.random()}" for _ in range(8)]
+        one, two = ([f"{r.random()}" for _ in range(r.randrange(20))] for _ in range(2))
+        a, b = spans.paragraphs("\n".join(one + same), 8)[0], spans.paragraphs("\n".join(two + same + two), 8)[0]
+        assert a[-1] == b[len(two)]
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text("ab\n\r", max_size=30), max_size=6))
 def test_any(spark, texts):
