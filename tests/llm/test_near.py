@@ -45,6 +45,34 @@ def test_against_brute_force(spark, weighted):
     assert sorted(tuple(r) for r in found.pairs().collect()) == brute(data, 0.5, weighted)
 
 
+def test_salted_buckets_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(near, "BUCKET", 1)
+    monkeypatch.setattr(near, "SAMPLE", 1)
+    data = texts(6, 12)
+    found = near.near(frame(spark, data))
+    assert not found._bucket_parts(found.reps.selectExpr("id", "explode(keys) AS key")).isEmpty()
+    assert sorted(tuple(r) for r in found.pairs().collect()) == brute(data, 0.5)
+
+
+def test_recall_by_similarity(spark):
+    """Of pairs just above the threshold 0.99 are found, of more similar ones all; none below."""
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    data, alike = [], {}
+    for k in range(1200):
+        common, own = words(100), [r.randrange(10, 56)] * 2
+        one, two = (" ".join(common + words(n)) for n in own)
+        alike[2 * k] = near.similarity(sets(one), sets(two), False)
+        data += [(2 * k, k, one), (2 * k + 1, k, two)]
+    found = {r["a"] for r in near.near(frame(spark, data)).pairs().collect()}
+    assert all(alike[a] >= 0.5 for a in found)
+    for low, high, least in ((0.5, 0.55, 0.98), (0.55, 0.6, 0.99), (0.6, 1.0, 1.0)):
+        true = [a for a, s in alike.items() if low <= s < high]
+        recall = sum(a in found for a in true) / len(true)
+        print(f"recall of {len(true)} pairs of similarity {low} to {high}: {recall:.4f}")
+        assert len(true) > 100 and recall >= least
+
+
 def test_copies_nulls_short_and_repeated_rows(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     data = [(1, 1, a), (2, 1, a), (3, 1, a), (3, 1, a), (4, 2, a), (5, None, a), (None, 1, a), (6, 1, None), (7, 1, ""), (8, 1, "x y z"), (9, 1, "x y z"), (10, 1, b)]

@@ -15,6 +15,10 @@ from textloom.session import Stash
 
 #: Shingles whose arrivals are drawn at once.
 CHUNK = 200_000
+#: Registers whose last byte goes into a record's sketch.
+SKETCH = 64
+#: A bucket of a band is worked on in parts of about so many records; how many there are is told by one of SAMPLE records.
+BUCKET, SAMPLE = 256, 32
 
 
 def shingles(tokens: list[str], n: int, memory: TokenHash) -> np.ndarray:
@@ -87,16 +91,18 @@ class Near:
 
     Shingles are sequences of ``n`` consecutive tokens. With ``weighted`` a shingle weighs as often as it stands in the text,
     and the similarity is the probability Jaccard; else all weigh the same, and it is the share of distinct shingles in common.
-    ``bands`` of ``rows`` registers: records of similarity s meet in a band with 1 - (1 - s^rows)^bands, at the defaults 0.995
-    for 0.5 and 0.9999 for 0.6. Pairs whose signatures agree in fewer than ``threshold - slack`` of the registers are not
-    verified (4.4 standard deviations at the defaults); all others are, on their whole texts.
+    ``bands`` of ``rows`` registers: records of similarity s meet in a band with 1 - (1 - s^rows)^bands, at the defaults 0.996
+    for 0.5, 0.99999 for 0.6 and 0.008 for 0.1. Pairs whose sketches, a byte of each of the first SKETCH registers, agree in
+    fewer than ``threshold - slack`` of them are not verified (4.5 standard deviations at the defaults, where one pair of
+    300,000 at the threshold is lost); all others are, on their whole texts. Buckets with very many records are salted: each
+    record stands in one part of its bucket and meets all parts, so that no task has a whole one.
 
     Null ids, groups and texts count nowhere, rows that repeat an id count once, texts of fewer than n tokens have no shingles
     and resemble nothing; an empty table gives an empty result. Texts with the same shingles are one class from the start, so
     that copies cost nothing but their own row; links hold between classes, and ``members`` says who belongs to which.
     """
 
-    def __init__(self, records: DataFrame, id: str, text: str, group: str, threshold: float = 0.5, n: int = 5, weighted: bool = False, bands: int = 40, rows: int = 3, slack: float = 0.2, pattern=CODE_TOKEN):
+    def __init__(self, records: DataFrame, id: str, text: str, group: str, threshold: float = 0.5, n: int = 5, weighted: bool = False, bands: int = 84, rows: int = 4, slack: float = 0.28, pattern=CODE_TOKEN):
         self.stash = Stash(records.sparkSession)
         self.records = records.select(F.col(id).cast("long").alias("id"), F.col(group).cast("long").alias("grp"), F.col(text).alias("text")).where("id IS NOT NULL AND grp IS NOT NULL AND text IS NOT NULL")
         self.threshold, self.n, self.weighted, self.bands, self.rows, self.slack, self.pattern = threshold, n, weighted, bands, rows, slack, pattern
@@ -127,7 +133,7 @@ class Near:
                             key = mix(key * np.uint64(31) + z[:, b * rows + r])
                         keys[:, b] = key
                     same = [(int(s.sum(dtype=np.uint64)), int(mix(s ^ np.uint64(len(s))).sum(dtype=np.uint64))) for s in (mix(e) * mix((w * 977).astype(np.uint64)) for e, w in sets)]
-                    sketch = (mix(z) & np.uint64(255)).astype(np.uint8)
+                    sketch = (mix(z[:, :SKETCH]) & np.uint64(255)).astype(np.uint8)
                 offsets = np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)
                 return pa.RecordBatch.from_arrays(
                     [
@@ -154,12 +160,25 @@ class Near:
 
         return self.records.mapInArrow(sign, "id long, grp long, same1 long, same2 long, sketch binary, keys array<long>")
 
+    def _bucket_parts(self, keys: DataFrame) -> DataFrame:
+        """(key, parts) of buckets that are estimated to have more than two parts. It only says how they are worked on."""
+        sample = keys.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+        return self.stash.keep(sample.where(F.col("n") * SAMPLE > 2 * BUCKET).select("key", F.ceil(F.col("n") * SAMPLE / BUCKET).cast("int").alias("parts")))
+
     def _candidates(self) -> DataFrame:
         keys = self.reps.select("id", F.explode("keys").alias("key"))
-        pairs = keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
+        hot = self._bucket_parts(keys)
+        if hot.isEmpty():
+            left, right, on = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b"), ["key"]
+        else:
+            parted = keys.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+            left = parted.select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.col("id").alias("a"))
+            right = parted.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"))
+            on = ["key", "part"]
+        pairs = self.stash.keep(left.join(right, on).where("a < b").select("a", "b").distinct())
         sketch = self.reps.select("id", "sketch")
         pairs = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        least = (self.threshold - self.slack) * self.bands * self.rows
+        least = (self.threshold - self.slack) * min(SKETCH, self.bands * self.rows)
 
         def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -173,7 +192,9 @@ class Near:
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         threshold, n, find, weigh, weighted = self.threshold, self.n, self.pattern.findall, weigher(self.weighted), self.weighted
-        text = self.records.select("id", "text")
+        # only texts that are in a pair travel
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        text = self.records.select("id", "text").join(ids, "id", "left_semi")
         both = pairs.join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
