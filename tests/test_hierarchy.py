@@ -70,6 +70,12 @@ def test_only_circles(spark):
     check(spark, [(1, 2, "a"), (2, 1, "b")])
 
 
+def test_without_paths(spark):
+    data = [(i, i // 3 if i else None, f"n{i}") for i in range(40)] + [(100, 100, "z")]
+    with_paths, without = (hierarchy.nested_sets(frame(spark, data), paths=p) for p in (True, False))
+    assert "path" not in without.columns and sorted(map(tuple, without.collect())) == sorted(map(tuple, with_paths.drop("path").collect()))
+
+
 def test_weights(spark):
     data = [(1, None, "a"), (2, 1, "b"), (3, 2, "c")]
     weights = spark.createDataFrame([(1, 5), (3, 7), (3, 1), (None, 9), (42, 9)], "node long, weight long")

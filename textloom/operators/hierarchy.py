@@ -2,7 +2,11 @@
 
 Subtree sizes are summed upward, siblings get preorder ranges by prefix sums, and the ranges are added up downward. Both sums
 run along paths by doubling: round k handles distances of 2^k to 2^(k+1), so that a tree of depth D takes log2 D rounds and not
-D. A node that is in a circle, or below one, is in no round completed; the rounds end when one completes nothing more.
+D. A node that is completed leaves the rounds, so that these get smaller with every one. A node that is in a circle, or below one,
+is in no round completed; the rounds end when one completes nothing more.
+
+The joins of the rounds have one row for each node on the side of the ancestors. Where very many nodes have the same one, it is
+the other side that has a hot key, which Spark splits at run time; all sums are pre-aggregated.
 """
 
 from __future__ import annotations
@@ -44,17 +48,17 @@ def grouped_prefix_sum(stash: Stash, df: DataFrame, group: str, order: list[Colu
     return local.join(base, [group, "_part"]).withColumn(out, F.col("_local") + F.col("_base")).drop("_part", "_local", "_base")
 
 
-def nested_sets(rows: DataFrame, node: str = "dir_id", parent: str = "parent_id", name: str | None = "name", weights: DataFrame | None = None) -> DataFrame:
+def nested_sets(rows: DataFrame, node: str = "dir_id", parent: str = "parent_id", name: str | None = "name", weights: DataFrame | None = None, paths: bool = True) -> DataFrame:
     """For each node: root_id, depth, path (array of names), pre, last, n_below, weight_below and is_cycle.
 
     ``pre`` numbers a root's nodes in preorder from 0, siblings by name and id; the node's descendants are those of the same root
     with ``pre < their pre <= last``. A node without a parent, or whose parent is not in the table, is a root of depth 0. Nodes
     that reach no root get root_id and depth -1, null ranges and path, and is_cycle. A null name stands as ``#id`` in the path.
     ``weights`` (node, weight), such as files by directory, is summed over the node and all below it; null or unknown nodes in it
-    count nowhere. An empty table gives an empty result.
+    count nowhere. Without ``paths`` the path is left out, whose total length grows with the depth of the trees. An empty table
+    gives an empty result.
     """
-    spark = rows.sparkSession
-    stash = Stash(spark)
+    stash = Stash(rows.sparkSession)
     nodes = distinct_nodes(rows, node, parent, name)
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
     nodes = nodes.join(known, "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known")
@@ -63,67 +67,60 @@ def nested_sets(rows: DataFrame, node: str = "dir_id", parent: str = "parent_id"
     else:
         own = weights.where(F.col("node").isNotNull()).groupBy("node").agg(F.sum("weight").cast("long").alias("own"))
         nodes = nodes.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    nodes = stash.keep(nodes.select("node", "parent", "name", "own"))
-
-    # Upward: sizes of all nodes nearer than 2^k below, with jump the ancestor at distance 2^k.
-    state = stash.keep(nodes.select("node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size"), F.col("own").alias("weight")))
-    open_before = -1
-    while True:
-        open_now = state.where(F.col("jump").isNotNull()).count()
-        if open_now in (0, open_before):
-            break
-        open_before = open_now
-        gained = state.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("node")).agg(F.sum("size").alias("more"), F.sum("weight").alias("more_weight"))
-        far = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
-        following = (
-            state.join(far, "jump", "left")
-            .join(gained, "node", "left")
-            .select("node", F.col("next").alias("jump"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("weight") + F.coalesce("more_weight", F.lit(0))).alias("weight"))
-        )
-        following = stash.keep(following)
-        stash.drop(state)
-        state = following
-    # What no round completed lies in a circle or below one.
-    sized = state.join(nodes.select("node", "parent", "name"), "node").withColumn("is_cycle", F.col("jump").isNotNull()).drop("jump")
+    nodes, open_now = stash.keep_counted(nodes.select("node", "parent", "name", "own"), F.col("parent").isNotNull())
+    sized, stuck = _sizes(stash, nodes, open_now)
 
     # Siblings: the offset of a node within its parent's range.
-    trees = sized.where(~F.col("is_cycle"))
+    trees = nodes.select("node", "parent", "name").join(sized, "node")
     offsets = grouped_prefix_sum(stash, trees.where(F.col("parent").isNotNull()), "parent", [F.col("name"), F.col("node")], "size", "before")
-    offsets = offsets.select("node", "parent", "name", (F.col("before") + 1).alias("offset"), "size", "weight")
-    roots = trees.where(F.col("parent").isNull()).select("node", "parent", "name", F.lit(0).cast("long").alias("offset"), "size", "weight")
-    label = F.coalesce("name", F.concat(F.lit("#"), F.col("node").cast("string")))
-    down = offsets.unionByName(roots).select(
-        "node", "size", "weight", F.col("parent").alias("jump"), F.coalesce("parent", "node").alias("root_id"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("int").alias("depth"), F.col("offset").alias("pre"), F.array(label).alias("path"),
-    )
-    down = stash.keep(down)
+    label = F.array(F.coalesce("name", F.concat(F.lit("#"), F.col("node").cast("string")))) if paths else F.lit(None).cast("array<string>")
+    root = trees.where(F.col("parent").isNull()).select("node", F.lit(None).cast("long").alias("jump"), F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), "size", "weight", label.alias("path"))
+    below = offsets.select("node", F.col("parent").alias("jump"), F.lit(None).cast("long").alias("root_id"), F.lit(1).alias("depth"), (F.col("before") + 1).alias("pre"), "size", "weight", label.alias("path"))
 
     # Downward: offsets, depths and names added up along the path to the root.
-    done = []
-    while True:
-        active = down.where(F.col("jump").isNotNull())
-        if active.isEmpty():
-            done.append(down)
-            break
-        above = down.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"), F.col("pre").alias("_pre"), F.col("path").alias("_path"))
-        moved = (
-            down.join(above, "jump", "left")
-            .select(
-                "node", "size", "weight", F.col("_jump").alias("jump"), F.coalesce("_root", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                (F.col("pre") + F.coalesce("_pre", F.lit(0))).alias("pre"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
-            )
-        )
-        moved = stash.keep(moved)
-        stash.drop(down)
-        down = moved
-    tree = done[0].select(
+    kept, open_now = stash.keep_counted(root.unionByName(below), F.col("jump").isNotNull())
+    done = kept.where(F.col("jump").isNull())
+    while open_now:
+        active = kept.where(F.col("jump").isNotNull())
+        above = done.unionByName(active).select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"), F.col("pre").alias("_pre"), F.col("path").alias("_path"))
+        moved = active.join(above, "jump").select(
+            "node", F.col("_jump").alias("jump"), F.col("_root").alias("root_id"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("pre") + F.col("_pre")).alias("pre"), "size", "weight", F.concat("_path", "path").alias("path")
+        )
+        kept, open_now = stash.keep_counted(moved, F.col("jump").isNotNull())
+        done = done.unionByName(kept.where(F.col("jump").isNull()))
+    tree = done.select(
         F.col("node").alias(node), "root_id", "depth", "path", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), (F.col("size") - 1).alias("n_below"), F.col("weight").alias("weight_below"), F.lit(False).alias("is_cycle")
     )
-    lost = sized.where("is_cycle").select(
+    lost = stuck.select(
         F.col("node").alias(node), F.lit(-1).cast("long").alias("root_id"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("pre"),
         F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("n_below"), F.lit(None).cast("long").alias("weight_below"), F.lit(True).alias("is_cycle"),
     )
-    return tree.unionByName(lost)
+    out = tree.unionByName(lost)
+    return out if paths else out.drop("path")
+
+
+def _sizes(stash: Stash, nodes: DataFrame, open_now: int) -> tuple[DataFrame, DataFrame]:
+    """(node, size, weight) of the nodes that reach a root, and (node) of those that don't, which no round completes.
+
+    Before round k a node has counted what is nearer than 2^k below it, and ``jump`` is its ancestor at distance 2^k. A node
+    without such an ancestor leaves; what it gains later comes as rows of its own, which are added up at the end.
+    """
+    kept = nodes.select("node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size"), F.col("own").alias("weight"))
+    done = kept.where(F.col("jump").isNull())
+    active = kept.where(F.col("jump").isNotNull())
+    open_before = -1
+    while open_now not in (0, open_before):
+        open_before = open_now
+        gained = active.groupBy(F.col("jump").alias("node")).agg(F.sum("size").alias("more"), F.sum("weight").alias("more_weight"))
+        far = active.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
+        moved = active.join(far, "jump", "left").select("node", F.col("next").alias("jump"), "size", "weight").join(gained, "node", "full")
+        zero = F.lit(0).cast("long")
+        moved = moved.select("node", "jump", *[(F.coalesce(a, zero) + F.coalesce(b, zero)).alias(a) for a, b in (("size", "more"), ("weight", "more_weight"))])
+        kept, open_now = stash.keep_counted(moved, F.col("jump").isNotNull())
+        done = done.unionByName(kept.where(F.col("jump").isNull()))
+        active = kept.where(F.col("jump").isNotNull())
+    sized = done.groupBy("node").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+    return sized, active.select("node")
 
 
 def descendants(tree: DataFrame, node: str = "dir_id", levels: int = 40) -> DataFrame:

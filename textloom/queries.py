@@ -47,7 +47,7 @@ def _files_by_dir(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("p5_found", DIRS + "SELECT dir_id, root_id, depth FROM walk UNION ALL SELECT dir_id, -1, -1 FROM d WHERE dir_id NOT IN (SELECT dir_id FROM walk)")
 def p5_found(spark, folder):
-    return hierarchy.nested_sets(table(spark, folder, "submission_dirs")).select("dir_id", "root_id", "depth")
+    return hierarchy.nested_sets(table(spark, folder, "submission_dirs"), paths=False).select("dir_id", "root_id", "depth")
 
 
 @query(
@@ -71,7 +71,7 @@ def p5_tree(spark, folder):
 SELECT a AS ancestor, n AS descendant, distance FROM up WHERE a <> n""",
 )
 def p5_descendants(spark, folder):
-    return hierarchy.descendants(hierarchy.nested_sets(table(spark, folder, "submission_dirs")))
+    return hierarchy.descendants(hierarchy.nested_sets(table(spark, folder, "submission_dirs"), paths=False))
 
 
 # Files

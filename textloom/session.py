@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -59,11 +60,18 @@ class Stash:
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
         self.count += 1
+        schema = df.schema
         df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
         out._stash_path = path
         return out
 
+    def keep_counted(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        """The table read back, and how many of its rows meet the condition, which is counted as they are written."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.count_if(condition).alias("n")))
+        return kept, seen.get["n"] or 0
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             path = getattr(df, "_stash_path", None)
