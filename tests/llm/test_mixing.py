@@ -72,6 +72,34 @@ def test_a_fixed_total_caps_small_sources(spark):
     assert got["b"]["most_uses"] <= 2 and got["a"]["reached_share"] > 0.7
 
 
+@pytest.mark.parametrize("total", [90, 1000, 3333, 7001])
+def test_a_fixed_total_is_met(spark, total):
+    """Below the total by less than a block, whatever the size of the shards."""
+    d, t = docs(spark, [("a", 403)] * 20 + [("b", 101)] * 9), targets(spark, [("a", 0.7, 5), ("b", 0.3, 4)])
+    for shard in (7, 50, 100_000):
+        m = mixing.Mix(d, t, block=16, shard=shard, total_tokens=total)
+        got = sum(len(r["tokens"]) for r in m.corpus().collect())
+        assert total - 16 < got <= total, (total, shard, got)
+
+
+def test_all_there_is(spark):
+    """More than there is: every block as often as it may be used, but for the slots by which a source's draws fall short."""
+    m = mixing.Mix(docs(spark, [("a", 100)] * 20), targets(spark, [("a", 1.0, 3)]), block=16, shard=40, total_tokens=10**9)
+    assert set(Counter((r["source"], r["block"]) for r in m.uses().collect()).values()) == {3}
+
+
+def test_no_part_of_a_shard_is_lost(spark):
+    """By default the source that runs out first bounds the size, and all of it is used."""
+    m = mixing.Mix(docs(spark, [("a", 100)] * 20), targets(spark, [("a", 1.0, 1)]), block=16, shard=1000)
+    assert Counter(r["block"] for r in m.uses().collect()) == {k: 1 for k in range(m.plan[0]["blocks"])}
+
+
+def test_variance_of_the_draws():
+    shares = np.array([0.503, 0.2985, 0.1535, 0.045])
+    counts = np.array([mixing.shard_counts(shares, 101, 1, s) for s in range(2000)])
+    assert (counts.var(axis=0) < 1).all()
+
+
 def test_empty(spark):
     none = mixing.Mix(docs(spark, []), targets(spark, [("a", 1.0, 1)]))
     assert none.corpus().count() == 0 and [tuple(r)[:4] for r in none.shares().collect()] == [("a", 1.0, 0.0, 0)]

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm.hashing import mix
 from textloom.operators.hierarchy import grouped_prefix_sum
-from textloom.session import Stash
+from textloom.session import Stash, tasks
 
-#: Where the public tokenizers' files are; a parameter of every function that needs one.
+#: Where the public tokenizers' files are; a parameter of every function that needs one. On a cluster every executor needs the file
+#: at this path.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary splits a text before it merges bytes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,7 +56,10 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def shard_counts(shares: np.ndarray, size: int, seed: int, shard: int) -> np.ndarray:
-    """How many of a shard's slots each source gets: the whole part of its share, and a multinomial draw of what remains."""
+    """How many of a shard's slots each source gets: the whole part of its share, and a multinomial draw of what remains.
+
+    This residual form of the multinomial draw has the same means, but a variance below 1 for each source and shard, so that over
+    n shards a source is off its share by less than sqrt(n) slots in the mean, instead of by the square root of its slots."""
     whole = np.floor(shares * size + 1e-9).astype(np.int64)
     rest = size - int(whole.sum())
     left = np.maximum(shares * size - whole, 0)
@@ -68,15 +72,17 @@ class Mix:
     """Blocks of ``block`` tokens from each source, and the slots of the corpus they go to.
 
     The documents of a source stand in a pseudorandom order as one run of tokens, cut into blocks; the last one may be shorter.
-    The corpus has shards of ``shard`` slots. Every shard draws how many of its slots go to which source; a source's slots,
-    counted over all shards, go through its blocks in a pseudorandom order, another one each time round, and end after
-    ``max_repeats`` rounds. So no block, and no document, is used more often than that.
+    The corpus has shards of ``shard`` slots, the last one what is left. Every shard draws how many of its slots go to which source;
+    a source's slots, counted over all shards, go through its blocks in a pseudorandom order, another one each time round, with the
+    shorter block at the end, and end after ``max_repeats`` rounds. So no block, and no document, is used more often than that; a
+    slot that falls to a source after its end stays empty.
 
     By default the corpus is as large as it can be with every source at its target; ``total_tokens`` sets another size, at which
-    sources that run out give way to the others. Shares are relative to the sources that have documents: a source with a target
-    but no documents can't have a share, and documents without a target aren't used. Of targets that repeat a source, shares
-    add up and the lowest cap counts; null shares count as 0, null caps as 1. Null texts, ids and sources are no case; rows that
-    repeat an id with the same text count once; texts without tokens take no place; empty tables give an empty corpus.
+    sources that run out give way to the others, and of which the corpus stays below by less than a block, as far as there are
+    tokens. Shares are relative to the sources that have documents: a source with a target but no documents can't have a share,
+    and documents without a target aren't used. Of targets that repeat a source, shares add up and the lowest cap counts; null
+    shares count as 0, null caps as 1. Null texts, ids and sources are no case; rows that repeat an id with the same text count
+    once; texts without tokens take no place; empty tables give an empty corpus.
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", share: str = "target_share", repeats: str = "max_repeats", block: int = 64, shard: int = 500, seed: int = 1, total_tokens: int | None = None, tokenizer: str = TOKENIZER):
@@ -99,7 +105,7 @@ class Mix:
         self.plan = self._plan(total_tokens)
 
     def _plan(self, total_tokens: int | None) -> list[dict]:
-        """Of each source: tokens, blocks and slots. One row for each source with a target comes to the driver."""
+        """Of each source: tokens, blocks, slots and its part of all slots. One row for each source with a target comes to the driver."""
         have = self.placed.groupBy("source").agg(F.sum("n").alias("tokens"))
         rows = [r.asDict() for r in self.targets.join(have, "source", "left").orderBy("source").collect()]
         for r in rows:
@@ -107,57 +113,75 @@ class Mix:
             r["blocks"] = -(-r["tokens"] // self.block)
             r["most"] = r["blocks"] * max(r["cap"], 0)
             r["aim"] = 0.0
-            # a source with a short last block needs more slots for the same tokens
-            r["share_of_slots"] = r["share"] * r["blocks"] / r["tokens"] if r["tokens"] else 0.0
         live = [r for r in rows if r["most"] and r["share"] > 0]
-        whole = sum(r["share_of_slots"] for r in live)
+        self.full, self.last = 0, 0
         if not live:
-            self.shards = 0
             return rows
-        if total_tokens is None:
-            # room for what the draws of the shards can be above their mean
-            size = min(r["most"] / (r["share_of_slots"] / whole) for r in live)
-            shards = max(1, math.ceil(size / self.shard))
-            size = min((r["most"] - min(5 * math.sqrt(shards), 0.02 * r["most"])) / (r["share_of_slots"] / whole) for r in live)
-            for r in live:
-                r["aim"] = r["share_of_slots"] / whole
-        else:
-            size = total_tokens / self.block
-            room, open_ = size, list(live)
-            while open_:
-                part = sum(r["share_of_slots"] for r in open_)
-                full = [r for r in open_ if r["most"] < room * r["share_of_slots"] / part]
-                if not full:
-                    for r in open_:
-                        r["aim"] = room * r["share_of_slots"] / part / size
-                    break
-                for r in full:
-                    r["aim"] = r["most"] / size
-                    room -= r["most"]
-                    open_.remove(r)
-            size = size * sum(r["aim"] for r in live)
-            whole_aim = sum(r["aim"] for r in live)
-            for r in live:
-                r["aim"] /= whole_aim
-        self.shards = max(1, math.floor(size / self.shard)) if size >= self.shard else 1
-        self.size = self.shard if size >= self.shard else max(1, math.floor(size))
+        room = lambda r: r["tokens"] * r["cap"]
+        whole = sum(r["share"] for r in live)
+        total = min(room(r) * whole / r["share"] for r in live) if total_tokens is None else min(total_tokens, sum(map(room, live)))
+        left, open_ = total, list(live)
+        while open_:
+            part = sum(r["share"] for r in open_)
+            full = [r for r in open_ if room(r) < left * r["share"] / part]
+            for r in full or open_:
+                # a source with a short last block needs more slots for the same tokens
+                r["aim"] = (room(r) if full else left * r["share"] / part) * r["blocks"] / r["tokens"]
+            if not full:
+                break
+            left -= sum(map(room, full))
+            open_ = [r for r in open_ if r not in full]
+        slots = sum(r["aim"] for r in live)
+        for r in live:
+            r["aim"] /= slots
+        self.full, self.last = divmod(math.floor(slots + 1e-9), self.shard)
+        self.plan = rows
+        if total_tokens is not None:
+            self.last = self._last_shard(total)
         return rows
 
-    def slots(self) -> DataFrame:
-        """(shard, source, count, first): slots of a source in a shard, and how many it has in the shards before."""
-        spark = self.targets.sparkSession
+    def _last_shard(self, total: float) -> int:
+        """The size of the last shard at which the corpus comes nearest to ``total`` tokens from below. If the shards before it have
+        more than that already, they are one less. One row for each source comes to the driver."""
+        names, aims = self._aims()
+        at = {r["source"]: r for r in self.plan}
+        while True:
+            drawn = {r["source"]: r["n"] for r in self._drawn(self.full, 0).groupBy("source").agg(F.sum("count").alias("n")).collect()}
+            best = None
+            for size in range(2 * self.shard + 1):
+                counts = shard_counts(aims, size, self.seed, self.full)
+                tokens = sum(self._tokens(at[s], drawn.get(s, 0) + int(c)) for s, c in zip(names, counts))
+                if tokens <= total and (best is None or tokens > best[0]):
+                    best = (tokens, size)
+            if best or not self.full:
+                return best[1] if best else 0
+            self.full -= 1
+
+    def _tokens(self, r: dict, slots: int) -> int:
+        """Tokens in so many slots of a source: the last block comes last in every round."""
+        slots = min(slots, r["most"])
+        return slots * self.block - slots // r["blocks"] * (r["blocks"] * self.block - r["tokens"])
+
+    def _aims(self) -> tuple[list[str], np.ndarray]:
         live = [r for r in self.plan if r["aim"] > 0]
-        names, aims = [r["source"] for r in live], np.array([r["aim"] for r in live])
-        size, seed = getattr(self, "size", 0), self.seed
+        return [r["source"] for r in live], np.array([r["aim"] for r in live])
+
+    def _drawn(self, full: int, last: int) -> DataFrame:
+        """(shard, source, count) of ``full`` whole shards and one of ``last`` slots."""
+        names, aims = self._aims()
+        whole, seed = self.shard, self.seed
 
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for s in b.column(0).to_pylist():
-                    counts = shard_counts(aims, size, seed, s)
+                    counts = shard_counts(aims, whole if s < full else last, seed, s)
                     yield pa.RecordBatch.from_arrays([pa.array([s] * len(names), pa.int64()), pa.array(names, pa.string()), pa.array(counts)], names=["shard", "source", "count"])
 
-        drawn = spark.range(self.shards if live else 0).mapInArrow(draw, "shard long, source string, count long")
-        return grouped_prefix_sum(self.stash, drawn, "source", [F.col("shard")], "count", "first")
+        return self.targets.sparkSession.range(full + (last > 0)).mapInArrow(draw, "shard long, source string, count long")
+
+    def slots(self) -> DataFrame:
+        """(shard, source, count, first): slots of a source in a shard, and how many it has in the shards before."""
+        return grouped_prefix_sum(self.stash, self._drawn(self.full, self.last), "source", [F.col("shard")], "count", "first")
 
     def uses(self) -> DataFrame:
         """(shard, place, source, block, round): which block each slot holds."""
@@ -172,14 +196,15 @@ class Mix:
                     if not len(j):
                         continue
                     rounds, at = j // blocks, j % blocks
-                    block = np.empty(len(j), np.int64)
+                    block = at.copy()
                     for r in np.unique(rounds):
-                        sel = rounds == r
-                        block[sel] = permuted(at[sel], blocks, (seed * 1_000_003 + k) * 1_000_003 + int(r))
+                        sel = (rounds == r) & (at < blocks - 1)
+                        block[sel] = permuted(at[sel], blocks - 1, (seed * 1_000_003 + k) * 1_000_003 + int(r))
                     n = len(j)
                     yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array([source] * n, pa.string()), pa.array(block), pa.array(rounds), pa.array(j)], names=["shard", "source", "block", "round", "slot"])
 
-        rows = self.slots().select("shard", "source", "count", "first")
+        # few rows that become many: a number of tasks that Spark doesn't merge by size
+        rows = self.slots().select("shard", "source", "count", "first").repartition(tasks(self.targets.sparkSession), "shard")
         return rows.mapInArrow(place, "shard long, source string, block long, round long, slot long")
 
     def blocks(self) -> DataFrame:
@@ -208,7 +233,8 @@ class Mix:
 
     def corpus(self) -> DataFrame:
         """(shard, slot, source, block, round, tokens). ``slot`` counts a source's slots over all shards."""
-        return self.uses().join(self.blocks(), ["source", "block"]).select("shard", "slot", "source", "block", "round", "tokens")
+        # written first, so that the size check of the join sees the rows there are and not those they are made from
+        return self.stash.keep(self.uses()).join(self.blocks(), ["source", "block"]).select("shard", "slot", "source", "block", "round", "tokens")
 
     def shares(self) -> DataFrame:
         """For each source with a target: its target share, the share reached, tokens, blocks, tokens there are, and the most
