@@ -132,8 +132,26 @@ def test_memory_changes_nothing():
         assert not syntax_java.errors(good) and syntax_java.errors(bad)
 
 
-def test_deep_nesting_is_an_answer():
-    assert syntax_java.errors("class A { int x = " + "(" * 20_000 + "1" + ")" * 20_000 + "; }") == [(1, "less nesting")]
+NESTED = [
+    ("java", "class A { int x = ", "(", "1", ")", "; }"), ("java", "class A { void f() ", "{", "", "}", " }"), ("java", "class A { void f() { ", "if (a) ", ";", "", " } }"), ("java", "class A { ", "A<", "B", ">", " x; }"),
+    ("java", "class A { int x = ", "a ? b : ", "c", "", "; }"), ("java", "class A { Object x = ", "() -> ", "1", "", "; }"), ("java", "class A { int x = ", "f(", "1", ")", "; }"), ("java", "class A { int[] x = ", "{", "1", "}", "; }"),
+    ("haskell", "x = ", "(", "1", ")", "\n"), ("haskell", "x = ", "[", "1", "]", "\n"), ("haskell", "x = ", "if a then b else ", "c", "", "\n"), ("haskell", "x = ", "\\a -> ", "1", "", "\n"), ("haskell", "f ", "(", "x", ")", " = 1\n"), ("haskell", "x :: ", "(", "A", ")", "\n"),
+]
+
+
+@pytest.mark.parametrize("lang, head, left, middle, right, tail", NESTED)
+def test_deep_nesting(lang, head, left, middle, right, tail):
+    n = 20_000
+    assert syntax.errors_of(lang, head + left * n + middle + right * n + tail) == []
+    if right:
+        assert syntax.errors_of(lang, head + left * n + middle + right * (n - 1) + tail)
+
+
+def test_deep_nesting_in_spark(spark):
+    text = "class A { int x = " + "(" * 5000 + "1" + ")" * 5000 + "; }"
+    files = spark.createDataFrame([(1, 1, text), (2, 1, text[:-4]), (3, 2, "x = " + "(" * 5000 + "1" + ")" * 5000)], "file_id long, workspace_id long, content string")
+    spaces = spark.createDataFrame([(1, "java"), (2, "haskell")], "workspace_id long, lang string")
+    assert {r["file_id"]: r["valid"] for r in syntax.parse_files(files, spaces).collect()} == {1: True, 2: False, 3: True}
 
 
 def test_files(spark):

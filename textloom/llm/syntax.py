@@ -13,8 +13,15 @@ from textloom.llm import syntax_haskell, syntax_java
 
 #: Parsers by normalised language name.
 PARSERS: dict[str, Callable[[str], list[tuple[int, str]]]] = {"java": syntax_java.errors, "haskell": syntax_haskell.errors}
-#: Frames of Python that nested source text may take.
-DEPTH = 6000
+#: Frames of Python that a character of source text can take, more than any does. Frames of these parsers stand on the heap, about
+#: a KB for each level of nesting, so that only memory bounds how deeply a text may be nested.
+FRAMES = 32
+
+
+def errors_of(lang: str, text: str) -> list[tuple[int, str]]:
+    """All errors of a text in a language of PARSERS, as (line, what was wanted), however deeply it is nested."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + FRAMES * len(text)))
+    return PARSERS[lang](text)
 
 
 def language(name: str | F.Column) -> F.Column:
@@ -31,13 +38,11 @@ def parse_files(files: DataFrame, languages: DataFrame, id: str = "file_id", tex
     named = languages.select(F.col(group).alias("_group"), language(lang).alias("_lang")).where("_lang IS NOT NULL").groupBy("_group").agg(F.min("_lang").alias("_lang"))
     rows = files.select(F.col(id).cast("long").alias("_id"), F.col(group).alias("_group"), F.col(text).alias("_text")).where("_id IS NOT NULL AND _text IS NOT NULL")
     rows = rows.join(named, "_group").where(F.col("_lang").isin(*PARSERS)).select("_id", F.col("_group").cast("long").alias("_group"), "_lang", "_text")
-    parsers = PARSERS
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
         kind = pa.list_(pa.struct([("line", pa.int32()), ("want", pa.string())]))
         for batch in batches:
-            found = [parsers[lang.as_py()](t.as_py()) for lang, t in zip(batch.column(2), batch.column(3))]
+            found = [errors_of(lang.as_py(), t.as_py()) for lang, t in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array([[{"line": n, "want": w} for n, w in e] for e in found], kind)],
                 names=["id", "grp", "lang", "errors"],

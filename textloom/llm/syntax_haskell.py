@@ -1159,15 +1159,11 @@ def _errors(stretch: str, read) -> list[tuple[int, str]]:
         return []
     except Wrong as e:
         found = [(e.at, e.want)]
-    except RecursionError:
-        return [(parser.p, "less nesting")]
     parser = Parser(stretch, True)
     try:
         read(parser)
     except Wrong as e:
         parser.noted.append((e.at, e.want))
-    except RecursionError:
-        parser.noted.append((parser.p, "less nesting"))
     for at, want in sorted(parser.noted, key=lambda e: e[0]):
         if at > found[-1][0]:
             found.append((at, want))

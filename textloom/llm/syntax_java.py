@@ -93,6 +93,7 @@ class Parser:
 
     def __init__(self, kinds: str):
         self.k, self.p, self.errors = kinds + END, 0, []
+        self.arrow: dict[int, bool] = {}
 
     # helpers
 
@@ -759,19 +760,25 @@ class Parser:
         return sort
 
     def is_lambda(self, p: int) -> bool:
-        k = self.k
-        depth = 0
-        while (c := k[p]) != END:
+        """Whether an arrow follows the bracket that closes the one here. One scan answers for all brackets within, too."""
+        known = self.arrow.get(p)
+        if known is not None:
+            return known
+        k, q = self.k, p
+        open_: list[int] = []
+        while (c := k[q]) != END:
             if c == "(":
-                depth += 1
+                open_.append(q)
             elif c == ")":
-                depth -= 1
-                if not depth:
-                    return k[p + 1] == "→"
+                self.arrow[open_.pop()] = k[q + 1] == "→"
+                if not open_:
+                    break
             elif c in ";{}":
-                return False
-            p += 1
-        return False
+                break
+            q += 1
+        for o in open_:
+            self.arrow[o] = False
+        return self.arrow[p]
 
     def lambda_(self) -> str:
         k = self.k
@@ -1043,10 +1050,7 @@ def errors(text: str) -> list[tuple[int, str]]:
     if kinds.endswith(WRONG) and tokens and tokens[-1] == "\x1a":
         kinds = kinds[:-1]
     parser = Parser(kinds)
-    try:
-        parser.compilation_unit()
-    except RecursionError:
-        parser.errors.append((parser.p, "less nesting"))
+    parser.compilation_unit()
     if not parser.errors:
         return []
     starts = [m.start() for m in TOKEN.finditer(text) if _KINDS[m.group()]]
