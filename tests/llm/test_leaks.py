@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -55,13 +56,27 @@ def test_substitutions(spark):
     assert run(spark, docs, [(9, item)], errors=1) == [(1, 9, 2, 28, 1), (3, 9, 1, 12, 0)]
 
 
-def test_masks_forgive_the_words_they_skip(spark):
-    """A window of 12 words with one changed is found wherever some mask skips it; here all inner words but those that none skips."""
-    skipped = {k for m in lk.MASKS for k, bit in enumerate(m) if bit == "0"}
-    for k in sorted(skipped)[:4]:
-        words = list(WORDS[:12])
-        words[k] = "other"
-        assert [r[:2] for r in run(spark, [(1, " ".join(words))], [(9, " ".join(WORDS[:12]))], errors=1)] == [(1, 9)]
+@pytest.mark.parametrize("least, errors", [(12, 1), (12, 2), (14, 2)])
+def test_every_placement_is_found(spark, least, errors):
+    """A passage of the least length with the most errors is found wherever these are, whether a mask skips them or not."""
+    places = list(itertools.combinations(range(least), errors))
+    docs = [(n, " ".join("other" if k in p else w for k, w in enumerate(WORDS[:least]))) for n, p in enumerate(places)]
+    assert [r[:2] for r in run(spark, docs, [(9, " ".join(WORDS[:least]))], least=least, errors=errors)] == [(n, 9) for n in range(len(places))]
+
+
+def test_sufficient_masks():
+    assert lk.sufficient(lk.MASKS, 12, 0) == lk.MASKS[:1]
+    for least, errors in [(12, 0), (12, 1), (12, 2), (13, 1), (16, 1), (16, 2), (20, 3)]:
+        assert not lk.missed(lk.sufficient(lk.MASKS, least, errors), least, errors)
+
+
+def test_the_filter_follows_the_seeds(spark, monkeypatch):
+    item = [(9, " ".join(WORDS))]
+    docs = [(1, " ".join(WORDS[3:20])), (2, " ".join(reversed(WORDS)))]
+    for least_bits, most_bits in ((6, 6), (6, 27), (22, 27)):
+        monkeypatch.setattr(lk, "LEAST_BITS", least_bits)
+        monkeypatch.setattr(lk, "MOST_BITS", most_bits)
+        assert run(spark, docs, item) == [(1, 9, 1, 17, 0)]
 
 
 def test_masks_hit_every_placement():

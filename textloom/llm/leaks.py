@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.hashing import WORD, TokenHash, hashed, mix, stream
+from textloom.llm.hashing import WORD, TokenHash, hashed, mix
+from textloom.session import Stash
 
 #: Masks over 12 words: 1 marks a word that has to agree, 0 one that is ignored. All begin and end with 1.
 MASKS = ("111010010111", "110110101011", "101111001101")
@@ -20,8 +21,9 @@ MASKS = ("111010010111", "110110101011", "101111001101")
 FOURTH = "11001101100111"
 #: Placements of substitutions that are tried one by one; where there are more, a run of intact words is relied on.
 MOST_PLACEMENTS = 200_000
-#: Bits of the filter that the corpus is held against before anything is shuffled: 2^22, half a megabyte whatever the items' number.
-FILTER_BITS = 22
+#: The filter that the corpus is held against before anything is shuffled has about so many bits for each seed of the items, and
+#: as a power of 2 at least and at most so many: half a megabyte to 16. Beyond, it lets more pass, which the join sorts out.
+BITS_A_SEED, LEAST_BITS, MOST_BITS = 64, 22, 27
 
 
 def missed(masks: tuple[str, ...], least: int, errors: int) -> list[tuple[int, ...]]:
@@ -47,6 +49,15 @@ def complete(masks: tuple[str, ...], least: int, errors: int) -> tuple[str, ...]
     return (*masks, "1" * math.ceil((least - errors) / (errors + 1)))
 
 
+@lru_cache
+def sufficient(masks: tuple[str, ...], least: int, errors: int) -> tuple[str, ...]:
+    """The first of the complete masks that miss nothing by themselves; without errors, one."""
+    masks = complete(masks, least, errors)
+    if math.comb(least, errors) > MOST_PLACEMENTS:
+        return masks
+    return next(masks[:k] for k in range(1, len(masks) + 1) if not missed(masks[:k], least, errors))
+
+
 def _seeds(h: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
     """For each mask the hashes of the words it minds, at every position at which it fits."""
     out = []
@@ -71,7 +82,7 @@ def _rows(rows: DataFrame, masks: tuple[str, ...], allowed: np.ndarray | None) -
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = TokenHash()
         table = shared.value if shared else None
-        shift = np.uint64(64 - FILTER_BITS)
+        shift = np.uint64(64 - (len(table) * 64).bit_length() + 1) if shared else None
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -91,12 +102,13 @@ def _rows(rows: DataFrame, masks: tuple[str, ...], allowed: np.ndarray | None) -
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
-    """A bit for each seed's first FILTER_BITS bits. What comes to the driver is at most 2^FILTER_BITS / 64 words."""
-    cell = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    words = seeds.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 AS INT))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
-    for w, bits in words.toPandas().itertuples(index=False):
-        out[w] = np.uint64(bits & 0xFFFFFFFFFFFFFFFF)
+    """A bit for the first bits of each seed. What comes to the driver is at most 2^MOST_BITS / 64 words."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(seeds.count(), 1) * BITS_A_SEED))))
+    cell = F.shiftrightunsigned("seed", 64 - bits)
+    words = seeds.select(F.shiftright(cell, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 AS INT))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(2 ** (bits - 6), np.uint64)
+    for w, found in words.toPandas().itertuples(index=False):
+        out[w] = np.uint64(found & 0xFFFFFFFFFFFFFFFF)
     return out
 
 
@@ -122,16 +134,16 @@ def leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: str = "i
     has no passage; repeated ids count once for each of their texts; empty tables give an empty result. Every
     passage is found: the masks are completed so that one of them has a hit wherever the differing words are.
 
-    Seeds of the documents are first held against a bit filter of fixed size over the seeds of the items; what passes is joined
+    Seeds of the documents are first held against a bit filter over the seeds of the items, whose size has a bound; what passes is joined
     to the items' seeds by hash, in whatever way Spark's size check picks, so that neither side has to be small. Every hit is
     verified on the words of both texts around it.
     """
     if max(map(len, masks)) > least or not 0 <= errors < least:
         raise ValueError("masks can't be longer than a passage, nor errors less than 0 or as many as its words")
-    masks = complete(tuple(masks), least, errors)
+    masks = sufficient(tuple(masks), least, errors)
     docs = docs.select(F.col(doc).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     items = items.select(F.col(item).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    wanted = _rows(items, masks, None)
+    wanted = Stash(items.sparkSession).keep(_rows(items, masks, None))
     hits = _rows(docs, masks, _filter(wanted))
     wanted = wanted.select(F.col("id").alias("item"), "mask", F.col("pos").alias("at"), "seed")
     # One hit for each alignment of a document with an item is enough: the alignment is verified as a whole.

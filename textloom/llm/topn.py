@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import Stash
+
 #: Rows that a task gathers before it cuts them, so that its memory has a bound.
 BLOCK_ROWS = 1_000_000
 
@@ -63,7 +65,8 @@ def top_n(rows: DataFrame, group: str, item: str, score: str, n: int = 5) -> Dat
         if size:
             yield flush()
 
-    kept = rows.mapInArrow(cut, "g long, i long, s double, bound double")
+    # written, as both the bounds and the survivors are made from it
+    kept = Stash(rows.sparkSession).keep(rows.mapInArrow(cut, "g long, i long, s double, bound double"))
     bounds = kept.where("bound IS NOT NULL").groupBy("g").agg(F.max("bound").alias("least"))
     alive = kept.join(bounds, "g", "left").where(F.col("least").isNull() | (F.col("s") >= F.col("least")))
     best = alive.groupBy("g", "i").agg(F.max("s").alias("s"))
