@@ -36,6 +36,8 @@ def prob_min_hash(sets: list[tuple[np.ndarray, np.ndarray | None]], m: int) -> n
     """
     sizes = np.array([len(e) for e, _ in sets])
     q, z = np.full(len(sets) * m, np.inf), np.zeros(len(sets) * m, np.uint64)
+    if not 0 < m <= 2048:
+        raise ValueError("1 to 2048 registers")
     if not sizes.sum():
         return z.reshape(len(sets), m)
     e = np.concatenate([e for e, _ in sets])
@@ -44,19 +46,25 @@ def prob_min_hash(sets: list[tuple[np.ndarray, np.ndarray | None]], m: int) -> n
     h = np.zeros(len(e))
     latest = np.full(len(sets), np.inf)
     live = np.flatnonzero(rate > 0)
+    even = bool((rate == 1.0).all())
     step = 0
     while len(live):
-        le, lf = e[live], f[live]
-        h[live] += -np.log(unit(stream(le, 2 * step))) / rate[live]
-        live = live[h[live] < latest[lf]]
-        le, lf, lh = e[live], f[live], h[live]
-        at = lf * m + (stream(le, 2 * step + 1) % np.uint64(m)).astype(np.int64)
+        # the waiting time is made of the number's upper 53 bits, the register of the lower 11
+        x = stream(e[live], step)
+        wait = -np.log(unit(x))
+        lh = h[live] + (wait if even else wait / rate[live])
+        lf = f[live]
+        early = lh < latest[lf]
+        live, lh, lf, x = live[early], lh[early], lf[early], x[early]
+        h[live] = lh
+        at = lf * m + (((x & np.uint64(2047)) * np.uint64(m)) >> np.uint64(11)).astype(np.int64)
         np.minimum.at(q, at, lh)
         won = lh == q[at]
-        z[at[won]] = le[won]
-        touched = np.unique(lf)
-        latest[touched] = q.reshape(-1, m)[touched].max(axis=1)
-        live = live[h[live] < latest[f[live]]]
+        z[at[won]] = e[live[won]]
+        if len(lf):
+            touched = lf[np.r_[True, lf[1:] != lf[:-1]]]
+            latest[touched] = q.reshape(-1, m)[touched].max(axis=1)
+            live = live[lh < latest[lf]]
         step += 1
     return z.reshape(len(sets), m)
 
@@ -109,8 +117,11 @@ class Near:
         signatures = self.stash.keep(self._signatures())
         members = signatures.groupBy("grp", "same1", "same2", "id").agg(F.lit(1)).select("grp", "same1", "same2", "id")
         first = members.groupBy("grp", "same1", "same2").agg(F.min("id").alias("rep"))
-        self.members = self.stash.keep(members.join(first, ["grp", "same1", "same2"]).select("grp", "rep", "id"))
-        self.reps = signatures.join(self.members.where("rep = id").select("id").distinct(), "id", "left_semi")
+        self.members = self.stash.keep(members.join(first, ["grp", "same1", "same2"]).select("grp", "rep", "id", "same1", "same2"))
+        # by those that are no representatives, which are fewer, in a table of their own whose true size the join's check sees: while
+        # they are few, the signatures needn't be shuffled
+        copies = self.stash.keep(self.members.where("rep <> id").select("id", "same1", "same2"))
+        self.reps = signatures.join(copies, ["id", "same1", "same2"], "left_anti")
         self.links = self.stash.keep(self._verified(self._candidates()))
 
     def _signatures(self) -> DataFrame:
@@ -193,7 +204,7 @@ class Near:
     def _verified(self, pairs: DataFrame) -> DataFrame:
         threshold, n, find, weigh, weighted = self.threshold, self.n, self.pattern.findall, weigher(self.weighted), self.weighted
         # only texts that are in a pair travel
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        ids = self.stash.keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         text = self.records.select("id", "text").join(ids, "id", "left_semi")
         both = pairs.join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
