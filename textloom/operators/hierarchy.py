@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from textloom.session import Stash
 
 
+#: Rows of a round that are worth a task and a file of their own.
+ROWS = 200_000
+
+
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows in no more tasks than so many are worth, where these are few: late rounds have a handful of nodes."""
+    parts = rows // ROWS + 1
+    return df.coalesce(parts) if parts < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def distinct_nodes(rows: DataFrame, node: str = "dir_id", parent: str = "parent_id", name: str | None = "name") -> DataFrame:
     """One row (node, parent, name) for each node id; null ids are no nodes.
 
@@ -74,20 +84,23 @@ def nested_sets(rows: DataFrame, node: str = "dir_id", parent: str = "parent_id"
     trees = nodes.select("node", "parent", "name").join(sized, "node")
     offsets = grouped_prefix_sum(stash, trees.where(F.col("parent").isNotNull()), "parent", [F.col("name"), F.col("node")], "size", "before")
     label = F.array(F.coalesce("name", F.concat(F.lit("#"), F.col("node").cast("string")))) if paths else F.lit(None).cast("array<string>")
-    root = trees.where(F.col("parent").isNull()).select("node", F.lit(None).cast("long").alias("jump"), F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), "size", "weight", label.alias("path"))
-    below = offsets.select("node", F.col("parent").alias("jump"), F.lit(None).cast("long").alias("root_id"), F.lit(1).alias("depth"), (F.col("before") + 1).alias("pre"), "size", "weight", label.alias("path"))
+    root = trees.where(F.col("parent").isNull()).select("node", F.lit(None).cast("long").alias("jump"), F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), "size", "weight", "reach", label.alias("path"))
+    below = offsets.select("node", F.col("parent").alias("jump"), F.lit(None).cast("long").alias("root_id"), F.lit(1).alias("depth"), (F.col("before") + 1).alias("pre"), "size", "weight", "reach", label.alias("path"))
 
     # Downward: offsets, depths and names added up along the path to the root.
     kept, open_now = stash.keep_counted(root.unionByName(below), F.col("jump").isNotNull())
     done = kept.where(F.col("jump").isNull())
+    k = 0
     while open_now:
         active = kept.where(F.col("jump").isNotNull())
-        above = done.unionByName(active).select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"), F.col("pre").alias("_pre"), F.col("path").alias("_path"))
+        # only what has a node at distance 2^k below it is looked up
+        above = done.unionByName(active).where(F.col("reach") >= k).select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"), F.col("pre").alias("_pre"), F.col("path").alias("_path"))
         moved = active.join(above, "jump").select(
-            "node", F.col("_jump").alias("jump"), F.col("_root").alias("root_id"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("pre") + F.col("_pre")).alias("pre"), "size", "weight", F.concat("_path", "path").alias("path")
+            "node", F.col("_jump").alias("jump"), F.col("_root").alias("root_id"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("pre") + F.col("_pre")).alias("pre"), "size", "weight", "reach", F.concat("_path", "path").alias("path")
         )
-        kept, open_now = stash.keep_counted(moved, F.col("jump").isNotNull())
+        kept, open_now = stash.keep_counted(_packed(moved, open_now), F.col("jump").isNotNull())
         done = done.unionByName(kept.where(F.col("jump").isNull()))
+        k += 1
     tree = done.select(
         F.col("node").alias(node), "root_id", "depth", "path", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), (F.col("size") - 1).alias("n_below"), F.col("weight").alias("weight_below"), F.lit(False).alias("is_cycle")
     )
@@ -100,26 +113,29 @@ def nested_sets(rows: DataFrame, node: str = "dir_id", parent: str = "parent_id"
 
 
 def _sizes(stash: Stash, nodes: DataFrame, open_now: int) -> tuple[DataFrame, DataFrame]:
-    """(node, size, weight) of the nodes that reach a root, and (node) of those that don't, which no round completes.
+    """(node, size, weight, reach) of the nodes that reach a root, and (node) of those that don't, which no round completes.
 
     Before round k a node has counted what is nearer than 2^k below it, and ``jump`` is its ancestor at distance 2^k. A node
-    without such an ancestor leaves; what it gains later comes as rows of its own, which are added up at the end.
+    without such an ancestor leaves; what it gains later comes as rows of its own, which are added up at the end. ``reach`` is the
+    last round in which a node gained anything, -1 for leaves: it has nodes at distance 2^reach below it.
     """
-    kept = nodes.select("node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size"), F.col("own").alias("weight"))
+    kept = nodes.select("node", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("size"), F.col("own").alias("weight"), F.lit(-1).alias("reach"))
     done = kept.where(F.col("jump").isNull())
     active = kept.where(F.col("jump").isNotNull())
-    open_before = -1
+    open_before, k = -1, 0
     while open_now not in (0, open_before):
-        open_before = open_now
         gained = active.groupBy(F.col("jump").alias("node")).agg(F.sum("size").alias("more"), F.sum("weight").alias("more_weight"))
         far = active.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
-        moved = active.join(far, "jump", "left").select("node", F.col("next").alias("jump"), "size", "weight").join(gained, "node", "full")
+        moved = active.join(far, "jump", "left").select("node", F.col("next").alias("jump"), "size", "weight", "reach").join(gained, "node", "full")
         zero = F.lit(0).cast("long")
-        moved = moved.select("node", "jump", *[(F.coalesce(a, zero) + F.coalesce(b, zero)).alias(a) for a, b in (("size", "more"), ("weight", "more_weight"))])
-        kept, open_now = stash.keep_counted(moved, F.col("jump").isNotNull())
+        sums = [(F.coalesce(a, zero) + F.coalesce(b, zero)).alias(a) for a, b in (("size", "more"), ("weight", "more_weight"))]
+        moved = moved.select("node", "jump", *sums, F.when(F.col("more").isNotNull(), k).otherwise(F.col("reach")).alias("reach"))
+        open_before = open_now
+        kept, open_now = stash.keep_counted(_packed(moved, 2 * open_now), F.col("jump").isNotNull())
         done = done.unionByName(kept.where(F.col("jump").isNull()))
         active = kept.where(F.col("jump").isNotNull())
-    sized = done.groupBy("node").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"))
+        k += 1
+    sized = done.groupBy("node").agg(F.sum("size").alias("size"), F.sum("weight").alias("weight"), F.max("reach").alias("reach"))
     return sized, active.select("node")
 
 
