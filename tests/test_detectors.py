@@ -54,7 +54,7 @@ def texts(seed, n):
     return [[(k + 1, r.choice(pool) if r.random() < 0.7 else "".join(r.choice("abc") for _ in range(8))) for k in range(r.randrange(0, 8))] for _ in range(n)]
 
 
-SETTINGS = [(3, 4, 0.8), (2, 2, 0.5), (4, 6, 0.7), (3, 5, 1.0)]
+SETTINGS = [(3, 4, 0.8), (2, 2, 0.5), (4, 6, 0.7), (3, 5, 1.0), (3, 1, 0.8), (2, 1, 0.5), (3, 4, 0.0)]
 
 
 @pytest.mark.parametrize("n, window, threshold", SETTINGS)
@@ -83,11 +83,15 @@ def test_threshold_at_the_float_boundary():
     assert ngram.needed(9, 0.8) == 8
 
 
-def test_windows_below_two_are_refused(spark):
-    df = spark.createDataFrame([], f"id long, grp long, sub string, lines {ngram.LINES}")
+def test_small_windows(spark):
+    """A window of 1 makes a lone common n-gram a match of similarity 0; one of 0 is the same."""
+    schema = f"id long, grp long, sub string, lines {ngram.LINES}"
+    assert ngram.detect(spark.createDataFrame([], schema)).count() == 0
+    df = spark.createDataFrame([(1, 1, "s", [(1, "abcde")]), (2, 1, "t", [(4, "xabcdy")])], schema)
+    assert [tuple(r)[4:] for r in ngram.detect(df, 4, 1).collect()] == [(1, 1, 4, 4, 0.0)] == [tuple(r)[4:] for r in ngram.detect(df, 4, 0).collect()]
+    assert ngram.detect(df, 4, 2).count() == 0
     with pytest.raises(ValueError):
-        ngram.detect(df, window=1)
-    assert ngram.detect(df).count() == 0
+        ngram.detect(df, threshold=1.5)
 
 
 def test_multiset_jaccard(spark):

@@ -60,6 +60,56 @@ def test_linked_matches(spark):
     assert grouping.linked_matches(m.limit(0)).count() == 0
 
 
+def linked_by_hand(rows):
+    """Connected sets of matches, of which the first file that two have decides whether they are linked: [(file, range)...] of each."""
+    rows = [r if r[0] < r[1] else (r[1], r[0], r[4], r[5], r[2], r[3], r[6]) for r in rows]
+
+    def linked(x, y):
+        for i in (0, 1):
+            for j in (0, 1):
+                if x[i] == y[j]:
+                    return x[2 + 2 * i : 4 + 2 * i] == y[2 + 2 * j : 4 + 2 * j]
+        return False
+
+    sets = []
+    for r in rows:
+        hit = [s for s in sets if any(linked(r, x) for x in s)]
+        sets = [s for s in sets if s not in hit] + [[r] + [x for s in hit for x in s]]
+    return sorted(sorted({f: min((x[2 + 2 * i], x[3 + 2 * i]) for x in s for i in (0, 1) if x[i] == f) for f in {x[i] for x in s for i in (0, 1)}}.items()) for s in sets)
+
+
+def groups_of(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["group_id"], []).append((r["file_id"], tuple(r["ranges"][0])))
+    return sorted(map(sorted, out.values()))
+
+
+def test_the_first_shared_file_decides(spark):
+    """Matches of the same two files that only have a range of the second in common are no group, unless a third file links them."""
+    rows = [(1, 2, 1, 5, 1, 5, 0.5), (1, 2, 20, 25, 1, 5, 0.5)]
+    link = lambda x: groups_of(grouping.linked_matches(matches(spark, x).withColumn("grp", F.lit(1).cast("long"))))
+    assert link(rows) == [[(1, (1, 5)), (2, (1, 5))], [(1, (20, 25)), (2, (1, 5))]] == linked_by_hand(rows)
+    same_first = [(1, 2, 1, 5, 1, 5, 0.5), (1, 2, 1, 5, 30, 35, 0.5)]
+    assert link(same_first) == [[(1, (1, 5)), (2, (1, 5))]] == linked_by_hand(same_first)
+    third = rows + [(2, 3, 1, 5, 7, 9, 0.5)]
+    assert link(third) == [[(1, (1, 5)), (2, (1, 5)), (3, (7, 9))]] == linked_by_hand(third)
+
+
+def test_linked_matches_against_the_predicate(spark):
+    import random
+
+    r = random.Random(8)
+    for _ in range(3):
+        rows = []
+        for _ in range(60):
+            a, b = r.sample(range(9), 2)
+            s, t = r.randrange(3), r.randrange(3)
+            rows.append((a, b, s, s + 1, t, t + 1, 0.5))
+        rows = list(dict.fromkeys(rows))
+        assert groups_of(grouping.linked_matches(matches(spark, rows).withColumn("grp", F.lit(1).cast("long")))) == linked_by_hand(rows)
+
+
 def test_variable_groups(spark):
     d = spark.createDataFrame([(1, "s", 1, 3, "intx"), (1, "s", 1, 3, "intx"), (1, "s", 2, 4, "intx"), (1, "t", 3, 5, "intx"), (1, "s", 1, 9, "own"), (1, "s", 2, 9, "own")], "grp long, sub string, id long, line int, value string")
     b = grouping.variable_groups(d)

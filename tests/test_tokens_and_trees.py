@@ -6,7 +6,7 @@ from textloom.functions import haskell_tokens, haskell_tree, java_tokens, java_t
 from textloom.functions.trees import rows
 from textloom.operators import preprocess, structure
 
-SOURCE = "//comment\npublic  class {}"
+SOURCE = "int   n = 07; // seven\n/* two\n lines */ n >>= 1;"
 
 
 @pytest.fixture(scope="module")
@@ -19,17 +19,37 @@ def texts(df, column):
 
 
 def test_java_tokens():
-    assert [(t.text, t.channel, t.line) for t in java_tokens.tokens(SOURCE)] == [("//comment", 4, 1), ("public", 0, 2), ("  ", 3, 2), ("class", 0, 2), (" ", 2, 2), ("{", 0, 2), ("}", 0, 2)]
-    assert [t.text for t in java_tokens.tokens("  a\t= b;  \n\n\t/* x\n y */  c")] == ["  ", "a", "=", " ", "b", ";", "  "][0:1] + ["a", "=", " ", "b", ";", "/* x\n y */", "c"]
+    """A lone blank is on channel 2, more of them on 3, comments on 4; a comment takes the blanks behind it along, and a token has the
+    line on which it begins."""
+    assert [(t.type, t.text, t.channel, t.line) for t in java_tokens.tokens(SOURCE)] == [
+        ("INT", "int", 0, 1), ("LONG_WS", "   ", 3, 1), ("IDENTIFIER", "n", 0, 1), ("WS", " ", 2, 1), ("ASSIGN", "=", 0, 1), ("WS", " ", 2, 1), ("OCT_LITERAL", "07", 0, 1), ("SEMI", ";", 0, 1), ("WS", " ", 2, 1),
+        ("LINE_COMMENT", "// seven", 4, 1), ("COMMENT", "/* two\n lines */", 4, 2), ("IDENTIFIER", "n", 0, 3), ("WS", " ", 2, 3), ("RSHIFT_ASSIGN", ">>=", 0, 3), ("WS", " ", 2, 3), ("DECIMAL_LITERAL", "1", 0, 3), ("SEMI", ";", 0, 3),
+    ]
+    assert [t.text for t in java_tokens.tokens("  a\t= b;  \n\n\t/* x\n y */  c")] == ["  ", "a", "=", " ", "b", ";", "/* x\n y */", "c"]
+
+
+def test_every_java_operator_is_one_token():
+    """The longest sign that fits, each by itself and beside names; a shift to the right is single signs, as in type arguments."""
+    for sign, name in java_tokens.NAMES.items():
+        got = [t.type for t in java_tokens.tokens(f"a {sign} b") if t.channel == 0]
+        assert got == ["IDENTIFIER", name, "IDENTIFIER"], sign
+    kinds = lambda x: [t.type for t in java_tokens.tokens(x) if t.channel == 0]
+    assert kinds("a>>=b>>>=c<<=d") == ["IDENTIFIER", "RSHIFT_ASSIGN", "IDENTIFIER", "URSHIFT_ASSIGN", "IDENTIFIER", "LSHIFT_ASSIGN", "IDENTIFIER"]
+    assert kinds("A<B<C>>x") == ["IDENTIFIER", "LT", "IDENTIFIER", "LT", "IDENTIFIER", "GT", "GT", "IDENTIFIER"]
+
+
+def test_shift_assignments_in_trees():
+    values = [n[4] for op in (">>=", ">>>=", "<<=", ">>", ">>>", "<<") for n in rows(java_tree.tree(f"class A {{ void f() {{ a = b; c {op} 2; }} }}")[0], "java") if n[3] == "BINARY_EXPR"]
+    assert [v for v in values if v != "="] == [">>=", ">>>=", "<<=", ">>", ">>>", "<<"]
 
 
 def test_filters(tokens):
     from pyspark.sql import functions as F
 
     t = F.col("tokens")
-    assert texts(tokens, preprocess.comments_only(t)) == ["//comment"]
-    assert texts(tokens, preprocess.without_comments(t)) == ["public", "  ", "class", " ", "{", "}"]
-    assert texts(tokens, preprocess.trim_whitespace(t)) == ["//comment", "public", " ", "class", " ", "{", "}"]
+    assert texts(tokens, preprocess.comments_only(t)) == ["// seven", "/* two\n lines */"]
+    assert texts(tokens, preprocess.without_comments(t)) == ["int", "   ", "n", " ", "=", " ", "07", ";", " ", "n", " ", ">>=", " ", "1", ";"]
+    assert texts(tokens, preprocess.trim_whitespace(t)) == ["int", " ", "n", " ", "=", " ", "07", ";", " ", "// seven", "/* two\n lines */", "n", " ", ">>=", " ", "1", ";"]
     assert tokens.where("file_id <> 1").count() == 1
 
 
@@ -38,8 +58,8 @@ def lines(df, keys=("file_id",)):
 
 
 def test_lines(tokens, spark):
-    assert lines(preprocess.stringify(tokens, ["file_id"])) == [(1, "//comment"), (2, "public  class {}")]
-    assert lines(preprocess.token_names(tokens, ["file_id"])) == [(1, "LINE_COMMENT"), (2, "PUBLIC CLASS LBRACE RBRACE")]
+    assert lines(preprocess.stringify(tokens, ["file_id"])) == [(1, "int   n = 07; // seven"), (2, "/* two"), (3, "lines */n >>= 1;")]
+    assert lines(preprocess.token_names(tokens, ["file_id"])) == [(1, "INT IDENTIFIER ASSIGN OCT_LITERAL SEMI LINE_COMMENT"), (3, "COMMENT IDENTIFIER RSHIFT_ASSIGN DECIMAL_LITERAL SEMI")]
     block = preprocess.tokenise(spark.createDataFrame([(1, "a /* b\n\n  c */ d", "java")], "file_id long, content string, lang string"))
     assert lines(preprocess.stringify(block, ["file_id"])) == [(1, "a /* b"), (2, ""), (3, "c */d")]
     assert lines(preprocess.token_names(block, ["file_id"])) == [(1, "IDENTIFIER"), (3, "COMMENT IDENTIFIER")]

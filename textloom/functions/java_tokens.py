@@ -37,7 +37,7 @@ TOKEN = re.compile(
   | (?P<HEX_LITERAL>0[xX][0-9a-fA-F_]+[lL]?) | (?P<BINARY_LITERAL>0[bB][01_]+[lL]?)
   | (?P<FLOAT_LITERAL>(?:[0-9][0-9_]*\.[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[fFdD]?|[0-9][0-9_]*(?:[eE][+-]?[0-9_]+[fFdD]?|[fFdD]))
   | (?P<OCT_LITERAL>0[0-7_]+[lL]?) | (?P<DECIMAL_LITERAL>[0-9][0-9_]*[lL]?)
-  | (?P<OPERATOR>\.\.\.|->|::|\+\+|--|&&|\|\||==|<=|>=|!=|<<=|[-+*/&|^%]=|[(){}\[\];,.=><!~?:+\-*/&|^%@])
+  | (?P<OPERATOR>\.\.\.|->|::|\+\+|--|&&|\|\||>>>=|>>=|<<=|==|<=|>=|!=|[-+*/&|^%]=|[(){}\[\];,.=><!~?:+\-*/&|^%@])
   | (?P<OTHER>.)
     """,
     re.VERBOSE,

@@ -637,13 +637,7 @@ class Builder:
             return "<<"
         if x == ">":
             if self.at(1) == ">" and self._adjacent(1):
-                if self.at(2) == ">" and self._adjacent(2):
-                    return ">>>"
-                if self.at(2) == ">=" and self._adjacent(2):
-                    return ">>>="
-                return ">>"
-            if self.at(1) == ">=" and self._adjacent(1):
-                return ">>="
+                return ">>>" if self.at(2) == ">" and self._adjacent(2) else ">>"
         return x
 
     def _adjacent(self, k: int) -> bool:
@@ -652,7 +646,7 @@ class Builder:
 
     @staticmethod
     def width(op: str) -> int:
-        return {"<<": 2, ">>": 2, ">>>": 3, ">>=": 2, ">>>=": 3}.get(op, 1)
+        return {"<<": 2, ">>": 2, ">>>": 3}.get(op, 1)
 
     def ternary(self) -> Node | None:
         start = self.here()

@@ -29,15 +29,23 @@ def _label(edges: DataFrame) -> DataFrame:
 
 
 def linked_matches(matches: DataFrame, files: DataFrame | None = None, threshold: float = 1.0) -> DataFrame:
-    """Blocks of groups of matches that are linked by having the same range of the same file on a side.
+    """Blocks of groups of matches that are linked by an equal range of a file that both have.
 
-    A group is a connected set of such matches, whatever their order. Each of its files has one block: the mean similarity of the
-    matches it is in, and the range of the first of them by (start, end). Groups in more than ``threshold`` of the group's
-    files (``files``: grp, n_files) are common code and dropped. Null or NaN similarities count nowhere.
+    Of two matches the first file that both have decides, in the order of the file ids: matches of the same two files are linked if
+    they have the same range of the first of them, whatever they have of the second; matches that share one file are linked if they
+    have the same range of it. A group is a connected set of linked matches, whatever their order. Each of its files has one block:
+    the mean similarity of the matches it is in, and the range of the first of them by (start, end). Groups in more than
+    ``threshold`` of the group's files (``files``: grp, n_files) are common code and dropped. Null or NaN similarities count nowhere.
     """
-    m = matches.where("similarity IS NOT NULL AND NOT isnan(similarity) AND s1 IS NOT NULL AND e1 IS NOT NULL AND s2 IS NOT NULL AND e2 IS NOT NULL")
-    m = m.withColumns({"a": F.xxhash64("grp", "file1_id", "s1", "e1"), "b": F.xxhash64("grp", "file2_id", "s2", "e2")})
-    labels = _label(m.select("a", "b").distinct())
+    m = matches.where("similarity IS NOT NULL AND NOT isnan(similarity) AND s1 IS NOT NULL AND e1 IS NOT NULL AND s2 IS NOT NULL AND e2 IS NOT NULL AND file1_id <> file2_id")
+    turned = F.col("file1_id") > F.col("file2_id")
+    m = m.select("grp", "similarity", *[F.when(turned, b).otherwise(F.col(a)).alias(a) for x, y in (("file1_id", "file2_id"), ("s1", "s2"), ("e1", "e2")) for a, b in ((x, F.col(y)), (y, F.col(x)))])
+    m = m.withColumns({"a": F.xxhash64("grp", "file1_id", "s1", "e1"), "b": F.xxhash64("grp", "file2_id", "s2", "e2"), "pair": F.xxhash64("file1_id", "file2_id")})
+    # A range links all that have it, but for matches of the same two files of which it is a range of the second: those need another
+    # match, of other files, in between.
+    ranges = m.select(F.col("a").alias("b"), "pair").unionByName(m.select("b", "pair")).groupBy("b").agg(F.min("pair").alias("low"), F.max("pair").alias("high"))
+    m = m.join(ranges.where("low <> high").select("b", F.lit(True).alias("links")), "b", "left")
+    labels = _label(m.select("a", F.when(F.col("links"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct())
     m = m.join(labels.withColumnRenamed("node", "a"), "a")
     sides = m.select("grp", "label", F.col("file1_id").alias("file_id"), F.col("s1").alias("start_line"), F.col("e1").alias("end_line"), "similarity").unionByName(
         m.select("grp", "label", F.col("file2_id").alias("file_id"), F.col("s2").alias("start_line"), F.col("e2").alias("end_line"), "similarity")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -37,11 +39,17 @@ class Context:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self.stash.keep(ngram.by_file(preprocess.lines(self.files), self.files))
+        return self.stash.keep(self._lexed())
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return self.stash.keep(structure.parse(self.files, with_nodes=self.trees))
+        return self.stash.keep(self._trees())
+
+    def _lexed(self) -> DataFrame:
+        return ngram.by_file(preprocess.lines(self.files), self.files)
+
+    def _trees(self) -> DataFrame:
+        return structure.parse(self.files, with_nodes=self.trees)
 
     @cached_property
     def declared(self) -> DataFrame:
@@ -52,15 +60,31 @@ class Context:
         """Files of each workspace, given code too."""
         return self.files.groupBy(F.col("workspace_id").cast("long").alias("grp")).agg(F.count("*").alias("n_files"))
 
-    def same_name(self, matches: DataFrame, params: dict) -> DataFrame:
+    @cached_property
+    def by_name(self) -> "Context":
+        """The same files, those of one name in a workspace as a group of their own: detectors that run over it only ever pair files of
+        the same name. Files without a name are in no group."""
+        named = self.files.join(self.names.where("name IS NOT NULL"), "file_id")
+        named = named.withColumn("workspace_id", F.xxhash64("workspace_id", "name")).drop("name")
+        groups = named.select(F.col("file_id").cast("long").alias("id"), F.col("workspace_id").alias("grp"))
+        out = copy(self)
+        out.files = named
+        for name in ("names", "skeleton_files", "texts", "parsed", "declared", "file_counts", "by_name"):
+            out.__dict__.pop(name, None)
+        out._lexed = lambda: self.texts.drop("grp").join(groups, "id").select("id", "grp", "sub", "lines")
+        out._trees = lambda: self.parsed.join(groups.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+        return out
+
+    def detect(self, run: Callable[["Context", dict], DataFrame], params: dict) -> DataFrame:
+        """Matches of a detector; with ``matchByFilename`` the name is part of the key on which it joins files."""
         if not params[SAME_NAME.name]:
-            return matches
-        n1, n2 = self.names.select(F.col("file_id").alias("file1_id"), F.col("name").alias("_n1")), self.names.select(F.col("file_id").alias("file2_id"), F.col("name").alias("_n2"))
-        return matches.join(n1, "file1_id").join(n2, "file2_id").where("_n1 = _n2").drop("_n1", "_n2")
+            return run(self, params)
+        own = self.files.select(F.col("file_id").cast("long").alias("file1_id"), F.col("workspace_id").cast("long").alias("grp"))
+        return run(self.by_name, params).drop("grp").join(own, "file1_id")
 
 
 def _ngram_run(ctx: Context, p: dict) -> DataFrame:
-    return ngram.detect(ctx.texts, int(p["ngram_size"]), max(2, int(p["minimum_window"])), p["threshold"])
+    return ngram.detect(ctx.texts, int(p["ngram_size"]), int(p["minimum_window"]), p["threshold"])
 
 
 def _variable_run(ctx: Context, p: dict) -> DataFrame:
@@ -133,7 +157,7 @@ def detect(ctx: Context, config: JobConfig, registry: Registry = REGISTRY) -> Da
     for name, given in config.detectors.items():
         spec = registry.detectors[name]
         params = spec.values(given)
-        m = ctx.same_name(spec.run(ctx, params), params)
+        m = ctx.detect(spec.run, params)
         have = set(m.columns)
         cols = [F.lit(name).alias("detector")]
         for f in MATCH_COLUMNS.split(", ")[1:]:

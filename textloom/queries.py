@@ -371,16 +371,21 @@ def skeleton_subtract(spark, folder):
 
 @query(
     "linked_groups",
-    f"""WITH RECURSIVE {MATCHED}, k AS (SELECT * FROM m WHERE similarity IS NOT NULL AND NOT isnan(similarity) AND grp IS NOT NULL),
-n AS (SELECT DISTINCT (grp, file1_id, s1, e1) AS a, (grp, file2_id, s2, e2) AS b FROM k), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
-r AS (SELECT a, b FROM e UNION SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), g AS (SELECT a, min(b) AS label FROM r GROUP BY a),
-s AS (SELECT label, file1_id AS file_id, s1 AS s, e1 AS e, similarity FROM k JOIN g ON g.a = (grp, file1_id, s1, e1) UNION ALL SELECT label, file2_id, s2, e2, similarity FROM k JOIN g ON g.a = (grp, file2_id, s2, e2) JOIN (SELECT a AS aa FROM g) h ON h.aa = g.a),
-b AS (SELECT label, file_id, avg(similarity::DOUBLE) AS score, min((s, e)) AS r FROM s GROUP BY ALL)
-SELECT file_id, round(score::FLOAT::DOUBLE, 5) AS score, r[1] AS start_line, r[2] AS end_line, count(*) OVER (PARTITION BY label) AS n_files FROM b""",
+    f"""WITH RECURSIVE {MATCHED}, k AS (SELECT match_id AS id, grp, similarity, least(file1_id, file2_id) AS f1, greatest(file1_id, file2_id) AS f2, CASE WHEN file1_id < file2_id THEN (s1, e1) ELSE (s2, e2) END AS r1, CASE WHEN file1_id < file2_id THEN (s2, e2) ELSE (s1, e1) END AS r2
+  FROM m WHERE similarity IS NOT NULL AND NOT isnan(similarity) AND grp IS NOT NULL),
+e AS (SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.grp = y.grp AND CASE WHEN x.f1 = y.f1 THEN x.r1 = y.r1 WHEN x.f1 = y.f2 THEN x.r1 = y.r2 WHEN x.f2 = y.f1 THEN x.r2 = y.r1 WHEN x.f2 = y.f2 THEN x.r2 = y.r2 ELSE false END),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), g AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a),
+s AS (SELECT label, grp, f1 AS file_id, r1 AS r, similarity FROM k JOIN g USING (id) UNION ALL SELECT label, grp, f2, r2, similarity FROM k JOIN g USING (id)),
+b AS (SELECT label, grp, file_id, avg(similarity::DOUBLE) AS score, min(r) AS r FROM s GROUP BY ALL), z AS (SELECT *, count(*) OVER (PARTITION BY label) AS n_files FROM b),
+w AS (SELECT workspace_id AS grp, count(*) AS whole FROM f GROUP BY 1)
+SELECT file_id, round(score::FLOAT::DOUBLE, 5) AS score, r[1] AS start_line, r[2] AS end_line, n_files FROM z JOIN w USING (grp) WHERE (n_files / whole)::FLOAT <= 0.1::FLOAT""",
 )
 def linked_groups(spark, folder):
-    """Groups of matches that are linked by an equal range: the blocks of their files."""
-    b = grouping.linked_matches(_file_matches(spark, folder).where("grp IS NOT NULL").withColumn("similarity", F.col("similarity").cast("double")))
+    """Groups of matches that are linked by an equal range, without those in more than a tenth of a workspace's files: the blocks of
+    their files."""
+    m = _file_matches(spark, folder).where("grp IS NOT NULL").withColumn("similarity", F.col("similarity").cast("double"))
+    files = _files(spark, folder).groupBy(F.col("workspace_id").alias("grp")).agg(F.count("*").alias("n_files"))
+    b = grouping.linked_matches(m, files, 0.1)
     n = b.groupBy("group_id").agg(F.count("*").alias("n_files"))
     return b.join(n, "group_id").select("file_id", F.round(F.col("score").cast("double"), 5).alias("score"), F.col("ranges")[0]["start_line"].alias("start_line"), F.col("ranges")[0]["end_line"].alias("end_line"), "n_files")
 
