@@ -63,15 +63,29 @@ def linked_matches(matches: DataFrame, files: DataFrame | None = None, threshold
 def variable_groups(declared: DataFrame) -> DataFrame:
     """A group for every declaration that stands in two submissions of a group, with a block of score 1 for each file; straight from
     the declarations, without making their pairs."""
-    shared = declared.groupBy("grp", "value").agg(F.min("sub").alias("low"), F.max("sub").alias("high")).where("low <> high").select("grp", "value")
-    d = declared.join(shared, ["grp", "value"], "left_semi")
-    lines = d.groupBy("grp", "value", "id").agg(F.array_sort(F.collect_set(F.struct(F.col("line").alias("start_line"), F.col("line").alias("end_line")))).alias("ranges"))
+    lines = shared_declarations(declared).groupBy("grp", "value", "id").agg(F.array_sort(F.collect_set(F.struct(F.col("line").alias("start_line"), F.col("line").alias("end_line")))).alias("ranges"))
     return lines.select(
         F.xxhash64(F.lit("variable"), "grp", "value").alias("group_id"), F.lit("VariableNameDetector").alias("detector"), "grp", F.col("id").alias("file_id"), F.lit(1.0).cast("float").alias("score"), "ranges", F.lit(None).cast("int").alias("weight"),
         F.concat(F.lit("Variable: "), F.col("value")).alias("comment"),
     )
 
 
+def own_declarations(declared: DataFrame, skeleton_files: DataFrame) -> DataFrame:
+    """Declarations of files that aren't given code, on lines on which the file declares nothing that given code of another submission
+    of its group declares as well. ``skeleton_files`` (file)."""
+    given = declared.join(skeleton_files.select(F.col("file").alias("id")).distinct(), "id", "left_semi")
+    lent = given.groupBy("grp", "value").agg(F.min("sub").alias("_low"), F.max("sub").alias("_high"))
+    masked = declared.join(lent, ["grp", "value"]).where("sub <> _low OR sub <> _high").select("id", "line").distinct()
+    own = declared.join(skeleton_files.select(F.col("file").alias("id")).distinct(), "id", "left_anti")
+    return own.join(masked, ["id", "line"], "left_anti").select(*declared.columns)
+
+
+def shared_declarations(declared: DataFrame) -> DataFrame:
+    """Declarations that another submission of the group has as well."""
+    shared = declared.groupBy("grp", "value").agg(F.min("sub").alias("low"), F.max("sub").alias("high")).where("low <> high").select("grp", "value")
+    return declared.join(shared, ["grp", "value"], "left_semi")
+
+
 def variable_totals(declared: DataFrame) -> DataFrame:
     """(detector, file_id, total): how many declarations a file has."""
     return declared.groupBy(F.col("id").alias("file_id")).agg(F.count("*").cast("int").alias("total")).select(F.lit("VariableNameDetector").alias("detector"), "file_id", "total")

@@ -48,6 +48,27 @@ def parse(files: DataFrame, id: str = "file_id", text: str = "content", lang: st
     return spread(rows).mapInArrow(build, f"id long, lang string, nodes array<{NODE}>, variables array<struct<line:int,value:string>>, problem string").withColumnRenamed("id", id)
 
 
+def artifacts(files: DataFrame, makers: dict[str, Callable[[str], list[str]]], id: str = "file_id", text: str = "content", lang: str = "lang") -> DataFrame:
+    """(id, lang, n, value): what the maker of a file's language makes of its text, in order. Files with null id or text, or in a language
+    without a maker, have no rows; a maker that fails gives none."""
+    rows = files.select(F.col(id).cast("long").alias("id"), language_key(lang).alias("lang"), F.col(text).alias("text"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(*makers))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def values(lang: str, text: str) -> list[str]:
+            try:
+                return list(makers[lang](text))
+            except Exception:
+                return []
+
+        for b in batches:
+            found = [values(lang, text.as_py()) for lang, text in zip(b.column(1).to_pylist(), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.string()))], names=["id", "lang", "x"])
+
+    made = spread(rows).mapInArrow(make, "id long, lang string, x array<string>")
+    return made.select(F.col("id").alias(id), "lang", F.posexplode("x").alias("n", "value"))
+
+
 def nodes(parsed: DataFrame, id: str = "file_id") -> DataFrame:
     """One row for each node, in preorder."""
     return parsed.select(id, "lang", F.explode("nodes").alias("n")).select(id, "lang", "n.*")

@@ -19,8 +19,9 @@ from textloom.session import Stash, tasks
 class Context:
     """What the detectors of a job read; each artifact is made once. ``trees`` says whether any of them reads trees."""
 
-    def __init__(self, files: DataFrame, workspaces: DataFrame, trees: bool = True):
+    def __init__(self, files: DataFrame, workspaces: DataFrame, trees: bool = True, registry: Registry | None = None):
         self.trees = trees
+        self.registry = registry or REGISTRY
         self.spark: SparkSession = files.sparkSession
         self.stash = Stash(self.spark)
         lang = workspaces.where("workspace_id IS NOT NULL AND lang IS NOT NULL").groupBy("workspace_id").agg(F.min(language_key("lang")).alias("lang"))
@@ -75,6 +76,10 @@ class Context:
         out._trees = lambda: self.parsed.join(groups.select(F.col("id").alias("file_id")), "file_id", "left_semi")
         return out
 
+    def artifact(self, group: str) -> DataFrame:
+        """(file_id, lang, n, value): what the makers of a group that the registry has make of the files."""
+        return structure.artifacts(self.files, self.registry.artifacts.get(group, {}))
+
     def detect(self, run: Callable[["Context", dict], DataFrame], params: dict) -> DataFrame:
         """Matches of a detector; with ``matchByFilename`` the name is part of the key on which it joins files."""
         if not params[SAME_NAME.name]:
@@ -87,19 +92,17 @@ def _ngram_run(ctx: Context, p: dict) -> DataFrame:
     return ngram.detect(ctx.texts, int(p["ngram_size"]), int(p["minimum_window"]), p["threshold"])
 
 
-def _variable_run(ctx: Context, p: dict) -> DataFrame:
-    return structure.variable_matches(ctx.declared)
-
-
 def _tree_run(ctx: Context, p: dict) -> DataFrame:
     return structure.tree_matches(ctx.parsed, ctx.files, int(p["MIN_HEIGHT"]), p["MIN_DICE"], bool(p["ABSTRACT_MATCHING"]))
 
 
-def _variable_groups(ctx: Context, matches: DataFrame, p: dict) -> DataFrame:
-    """Of the declarations that remain in matches, each with its line."""
-    sides = matches.select("grp", F.col("file1_id").alias("id"), F.col("s1").alias("line"), F.col("string").alias("value")).unionByName(matches.select("grp", F.col("file2_id").alias("id"), F.col("s2").alias("line"), F.col("string").alias("value"))).distinct()
-    subs = ctx.declared.select("id", "sub").distinct()
-    return grouping.variable_groups(sides.join(subs, "id"))
+def _variable_blocks(ctx: Context, p: dict) -> DataFrame:
+    """Straight from the declarations: those that another submission has, and for ``matchByFilename`` a file of the same name of it."""
+    c = ctx.by_name if p[SAME_NAME.name] else ctx
+    d = grouping.shared_declarations(grouping.own_declarations(c.declared, c.skeleton_files))
+    if p[SAME_NAME.name]:
+        d = d.drop("grp").join(ctx.files.select(F.col("file_id").cast("long").alias("id"), F.col("workspace_id").cast("long").alias("grp")), "id")
+    return grouping.variable_groups(d)
 
 
 REGISTRY = Registry()
@@ -111,7 +114,7 @@ NGRAM = REGISTRY.detector(
         (ParamSpec("common_threshold", "Common Threshold", 1.0, 0, 1, 0.001, fixed=False),),
     )
 )
-VARIABLES = REGISTRY.detector(DetectorSpec("VariableNameDetector", "Variable Name Detector", (), ("java", "haskell"), _variable_run, _variable_groups, lambda ctx: grouping.variable_totals(ctx.declared)))
+VARIABLES = REGISTRY.detector(DetectorSpec("VariableNameDetector", "Variable Name Detector", (), ("java", "haskell"), totals=lambda ctx: grouping.variable_totals(ctx.declared), blocks=_variable_blocks))
 TREES = REGISTRY.detector(
     DetectorSpec(
         "ASTDetector", "AST Detector",
@@ -152,10 +155,12 @@ MATCH_COLUMNS = "detector string, grp long, file1_id long, file2_id long, match_
 
 
 def detect(ctx: Context, config: JobConfig, registry: Registry = REGISTRY) -> DataFrame:
-    """Matches of all detectors, in one table."""
-    out = None
+    """Matches of all detectors that make matches, in one table."""
+    out = ctx.spark.createDataFrame([], MATCH_COLUMNS)
     for name, given in config.detectors.items():
         spec = registry.detectors[name]
+        if spec.blocks:
+            continue
         params = spec.values(given)
         m = ctx.detect(spec.run, params)
         have = set(m.columns)
@@ -163,13 +168,14 @@ def detect(ctx: Context, config: JobConfig, registry: Registry = REGISTRY) -> Da
         for f in MATCH_COLUMNS.split(", ")[1:]:
             column, kind = f.split()
             cols.append((F.col(column) if column in have else F.lit(None)).cast(kind).alias(column))
-        m = m.select(*cols)
-        out = m if out is None else out.unionByName(m)
+        out = out.unionByName(m.select(*cols))
     return out
 
 
-def run_job(files: DataFrame, workspaces: DataFrame, config: JobConfig | None = None, registry: Registry = REGISTRY, prefer_stored: bool = True) -> JobResult:
-    """Preprocess, detect, take out given code, group and score, over all workspaces that have a language.
+def run_job(files: DataFrame, workspaces: DataFrame, config: JobConfig | None = None, registry: Registry = REGISTRY) -> JobResult:
+    """Preprocess, detect, take out given code, group and score, over all workspaces that have a language. ``matches`` has those of
+    the detectors whose groups are made of matches; those of variables are made for files that are reported on, by
+    ``structure.variable_matches``, and not for all pairs. ``plans.runs`` stores jobs, and runs them again.
 
     Workspaces with fewer than two submissions have no pairs and so no matches. Raises where there is nothing to run.
     """
@@ -179,14 +185,14 @@ def run_job(files: DataFrame, workspaces: DataFrame, config: JobConfig | None =
     unknown = [d for d in config.detectors if d not in registry.detectors]
     if unknown:
         raise KeyError(f"no such detector: {unknown}")
-    ctx = Context(files, workspaces, trees=config.detectors.keys() != {"VariableNameDetector"})
+    ctx = Context(files, workspaces, trees=config.detectors.keys() != {"VariableNameDetector"}, registry=registry)
     found = ctx.stash.keep(detect(ctx, config, registry))
     own = skeleton.without_skeleton(found, ctx.skeleton_files, ["detector"])
     own = ctx.stash.keep(own)
     blocks = totals = None
     for name, given in config.detectors.items():
         spec = registry.detectors[name]
-        b = spec.group(ctx, own.where(F.col("detector") == name), spec.values(given))
+        b = spec.blocks(ctx, spec.values(given)) if spec.blocks else spec.group(ctx, own.where(F.col("detector") == name), spec.values(given))
         blocks = b if blocks is None else blocks.unionByName(b)
         if spec.totals:
             t = spec.totals(ctx)

@@ -45,7 +45,11 @@ SAME_NAME = ParamSpec("matchByFilename", "Match by Filename", 0, 0, 1, 1, True)
 
 @dataclass(frozen=True)
 class DetectorSpec:
-    """``run(ctx, params)`` gives matches; ``group(ctx, matches, params)`` blocks of groups; ``totals(ctx)`` what to count a file by."""
+    """``run(ctx, params)`` gives matches; ``group(ctx, matches, params)`` blocks of groups; ``totals(ctx)`` what to count a file by.
+
+    A detector whose groups don't need matches of pairs has ``blocks(ctx, params)`` instead of the first two, which takes out given
+    code itself. All of them may read what makers of artifacts make: ``ctx.artifact(group)``.
+    """
 
     name: str
     display: str
@@ -55,6 +59,7 @@ class DetectorSpec:
     group: Callable | None = None
     totals: Callable | None = None
     group_params: tuple[ParamSpec, ...] = ()
+    blocks: Callable | None = None
 
     def values(self, given: dict[str, float] | None = None) -> dict[str, float]:
         given = given or {}
@@ -75,7 +80,8 @@ class Registry:
         return spec
 
     def artifact(self, group: str, language: str, make: Callable):
-        """A maker of something from source text, for one language of a group of such makers."""
+        """A maker of something from source text, for one language of a group of such makers: ``make(text)`` gives a list of strings, which
+        ``Context.artifact`` has as rows; makers of trees give what ``structure.parse`` reads."""
         self.artifacts.setdefault(group, {})[language.lower()] = make
 
     def maker(self, group: str, language: str) -> Callable | None:

@@ -44,6 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 class Stash:
     """Tables written to the shared folder to cut the lineage of iterative plans.
 
@@ -79,8 +84,7 @@ class Stash:
                 self._delete(path)
 
     def _delete(self, path: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        delete(self.spark, path)
 
     def _clean(self) -> None:
         """At the end of the driver's Python; results are lazy and read these tables until then."""
