@@ -111,12 +111,26 @@ def p1_found(spark, folder):
     return _near_files(spark, folder).pairs().select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
 
 
-@query("p1_groups")
+_ALIKE = RESEMBLING.rsplit("SELECT a AS file_id_a", 1)[0]
+
+
+@query(
+    "p1_groups",
+    _ALIKE.replace("WITH f AS", "WITH RECURSIVE f AS")
+    + """, sig AS (SELECT w, file_id, md5(string_agg(s, chr(10) ORDER BY s)) AS sig FROM s GROUP BY ALL), cls AS (SELECT w, file_id, min(file_id) OVER (PARTITION BY w, sig) AS rep FROM sig),
+e AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM (SELECT c.a, c.b FROM c JOIN n x ON x.file_id = a JOIN n y ON y.file_id = b WHERE c.c >= 0.5 * (x.n + y.n - c.c)) p JOIN cls x ON x.file_id = p.a JOIN cls y ON y.file_id = p.b WHERE x.rep <> y.rep),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT rep AS a, rep AS b FROM cls UNION SELECT r.a, e2.b FROM r JOIN e2 ON e2.a = r.b),
+k AS (SELECT a AS rep, min(b) AS class_id FROM r GROUP BY a), l AS (SELECT a AS rep, count(*) AS n_links FROM e2 GROUP BY a),
+m AS (SELECT cls.file_id, cls.w AS workspace_id, class_id, coalesce(n_links, 0) AS n_links FROM cls JOIN k USING (rep) LEFT JOIN l USING (rep)),
+bl AS (SELECT block_id, any_value(file_id) AS file_id, any_value(score) AS score FROM blocks GROUP BY block_id),
+ms AS (SELECT class_id, round(avg(score::DOUBLE), 6) AS mean_block_score FROM m JOIN bl USING (file_id) WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY class_id)
+SELECT file_id, workspace_id, class_id, n_links, mean_block_score FROM m LEFT JOIN ms USING (class_id)""",
+)
 def p1_groups(spark, folder):
     """One row for each file with shingles: its class, its links to other classes, and the class's mean block score."""
     blocks = table(spark, folder, "blocks").groupBy("block_id").agg(F.min(F.struct("file_id", "score")).alias("x")).select(F.col("x.file_id").alias("id"), F.col("x.score").cast("double").alias("score"))
     out = near.member_means(_near_files(spark, folder).groups(), blocks, F.col("score"))
-    return out.select(F.col("id").alias("file_id"), F.col("grp").alias("workspace_id"), "class_id", "n_links", F.col("mean_score").alias("mean_block_score"))
+    return out.select(F.col("id").alias("file_id"), F.col("grp").alias("workspace_id"), "class_id", "n_links", F.round("mean_score", 6).alias("mean_block_score"))
 
 
 @query("p1_weighted")
@@ -144,7 +158,14 @@ def p3_found(spark, folder):
     return spans.shared_spans(table(spark, folder, "files"))
 
 
-@query("p3_shares")
+@query(
+    "p3_shares",
+    SPANS.rsplit("SELECT file_id, min(line)", 1)[0].replace("WITH f AS", "WITH RECURSIVE f AS")
+    + r"""SELECT file_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(shared, 0)::INT AS shared_lines, CASE WHEN n_lines > 0 THEN coalesce(shared, 0) / n_lines ELSE 0 END AS share, coalesce(cluster_id, file_id) AS cluster_id
+FROM (SELECT DISTINCT file_id FROM files WHERE content IS NOT NULL AND file_id IS NOT NULL) LEFT JOIN (SELECT file_id, len(l) AS n_lines FROM f) USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS shared FROM c GROUP BY file_id) USING (file_id)
+LEFT JOIN (WITH RECURSIVE e AS (SELECT DISTINCT file_id AS a, min(file_id) OVER (PARTITION BY t) AS b FROM w JOIN h USING (t)), e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, b FROM e2 UNION SELECT r.a, e2.b FROM r JOIN e2 ON e2.a = r.b)
+  SELECT a AS file_id, min(b) AS cluster_id FROM r GROUP BY a) USING (file_id)""",
+)
 def p3_shares(spark, folder):
     return spans.shared_parts(table(spark, folder, "files"))
 
@@ -164,13 +185,29 @@ def p7_found(spark, folder):
     return lk.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
 
-@query("p7_tolerant")
+ALIGNED = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
+y AS (SELECT item_id, unnest(range(1, len(w) - 3)) AS j, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM b WHERE len(w) >= 5),
+a AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM x JOIN y USING (g)),
+p AS (SELECT a.*, d.w AS dw, b.w AS bw, greatest(1, 1 + shift) AS lo, least(len(d.w), len(b.w) + shift) AS hi FROM a JOIN d USING (doc_id) JOIN b USING (item_id) WHERE least(len(d.w), len(b.w) + shift) - greatest(1, 1 + shift) + 1 >= {0}),
+e AS (SELECT doc_id, item_id, list_concat(list_concat([lo - 1], list_filter(range(lo, hi + 1), lambda i: dw[i] <> bw[i - shift])), [hi + 1]) AS e FROM p),
+k AS (SELECT doc_id, item_id, e, unnest(range(1, len(e))) AS k FROM e),
+r AS (SELECT doc_id, item_id, e[k] + 1 AS doc_word, e[least(k + {1} + 1, len(e))] - e[k] - 1 AS words, least(k + {1} + 1, len(e)) - k - 1 AS differing FROM k),
+best AS (SELECT doc_id, item_id, min((-words, differing, doc_word)) AS m FROM r WHERE words >= {0} GROUP BY ALL)
+"""
+
+
+@query("p7_tolerant", ALIGNED.format(16, 2) + "SELECT doc_id, item_id, m[3] AS doc_word, -m[1] AS words, m[2] AS differing FROM best")
 def p7_tolerant(spark, folder):
     """Passages of 16 words or more of which up to two were replaced, with their place and length in the document."""
     return lk.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), least=16, errors=2)
 
 
-@query("p7_items")
+@query(
+    "p7_items",
+    ALIGNED.format(12, 0) + "SELECT item_id, coalesce(n_docs, 0) AS n_docs, coalesce(longest, 0) AS longest FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN (SELECT item_id, count(*) AS n_docs, max(-m[1]) AS longest FROM best GROUP BY item_id) USING (item_id)",
+)
 def p7_items(spark, folder):
     """For each held-out item the number of documents it leaked into and the longest passage; items that didn't leak have 0."""
     found = lk.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("words").alias("longest"))
