@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import java_sql
 from textloom.functions import columns
 from textloom.operators import grouping, hierarchy, ngram, pairs, preprocess, scoring, skeleton, structure
 from textloom.plans import job, report
@@ -266,25 +267,58 @@ def ngram_matches(spark, folder):
 # Tokens, trees and declarations
 
 
-@query("token_channels")
+JAVA = java_sql.tokens(FILES)
+
+
+def _of(spark, folder, lang):
+    return _context(spark, folder).files.where(F.col("lang") == lang)
+
+
+def _channels(spark, folder, lang):
+    t = preprocess.tokenise(_of(spark, folder, lang)).select("file_id", F.explode("tokens").alias("t"))
+    return t.groupBy(F.col("t.channel").alias("channel"), F.col("t.type").alias("type")).agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"), F.countDistinct("t.text").alias("n_texts"))
+
+
+@query("token_channels", JAVA + "SELECT channel, kind AS type, count(*) AS n, count(DISTINCT file_id) AS n_files, count(DISTINCT x) AS n_texts FROM jt GROUP BY ALL")
 def token_channels(spark, folder):
-    t = preprocess.tokenise(_context(spark, folder).files).select("file_id", "lang", F.explode("tokens").alias("t"))
-    return t.groupBy("lang", F.col("t.channel").alias("channel"), F.col("t.type").alias("type")).agg(F.count("*").alias("n"))
+    """How often each kind of Java token stands in all files, in how many of them, and with how many texts."""
+    return _channels(spark, folder, "java")
+
+
+@query("haskell_token_channels")
+def haskell_token_channels(spark, folder):
+    return _channels(spark, folder, "haskell")
+
 
+COMMENTS, CODE, NAMES = preprocess.Strategy("comments", ("comments_only",)), preprocess.Strategy("code", ("without_comments",)), preprocess.Strategy("names", (), names=True)
 
-@query("comment_lines")
+
+@query("comment_lines", JAVA + java_sql.lines("x", "4"))
 def comment_lines(spark, folder):
-    return preprocess.lines(_context(spark, folder).files, preprocess.Strategy("comments", ("comments_only",)))
+    return preprocess.lines(_of(spark, folder, "java"), COMMENTS)
 
 
-@query("uncommented_lines")
+@query("uncommented_lines", JAVA + java_sql.lines("x", "0, 2, 3"))
 def uncommented_lines(spark, folder):
-    return preprocess.lines(_context(spark, folder).files, preprocess.Strategy("code", ("without_comments",)))
+    return preprocess.lines(_of(spark, folder, "java"), CODE)
+
+
+@query("java_trimmed_lines", JAVA + java_sql.lines("CASE WHEN channel = 3 THEN ' ' ELSE x END", "0, 2, 3, 4"))
+def java_trimmed_lines(spark, folder):
+    return preprocess.lines(_of(spark, folder, "java"))
 
 
-@query("token_lines")
+@query("token_lines", JAVA + java_sql.NAMED)
 def token_lines(spark, folder):
-    return preprocess.lines(_context(spark, folder).files, preprocess.Strategy("names", (), names=True))
+    return preprocess.lines(_of(spark, folder, "java"), NAMES)
+
+
+@query("haskell_lines")
+def haskell_lines(spark, folder):
+    """The lines of Haskell files by all strategies."""
+    files = _of(spark, folder, "haskell")
+    parts = [preprocess.lines(files, x).withColumn("strategy", F.lit(x.name)) for x in (COMMENTS, CODE, NAMES, preprocess.NO_WHITESPACE)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("trimmed_lines")
@@ -545,13 +579,25 @@ def match_json(spark, folder):
     return report.match_json(m, ["match_id"])
 
 
-@query("graph_json")
+@query(
+    "graph_json",
+    REPORTED
+    + """, n AS (SELECT workspace_id, string_agg('{"id":' || to_json(submission)::VARCHAR || ',"label":' || to_json(submission)::VARCHAR || ',"score":' || percentage || ',"group":' || bucket || '}', ',' ORDER BY encode(submission)) AS j FROM sb GROUP BY 1),
+e AS (SELECT workspace_id, least(submission, other) AS a, greatest(submission, other) AS b, floor(max(score) * 100 + 0.5)::INT AS p FROM sp GROUP BY ALL HAVING max(score) >= 0),
+m AS (SELECT workspace_id, string_agg('{"from":' || to_json(a)::VARCHAR || ',"to":' || to_json(b)::VARCHAR || ',"score":' || p || ',"group":' || CASE WHEN p <= 0 THEN 0 ELSE least(9, p // 10) END || '}', ',' ORDER BY encode(a), encode(b)) AS j FROM e GROUP BY 1)
+SELECT n.workspace_id, '{"nodes":[' || n.j || '],"matches":[' || coalesce(m.j, '') || ']}' AS json FROM n LEFT JOIN m ON m.workspace_id IS NOT DISTINCT FROM n.workspace_id""",
+)
 def graph_json(spark, folder):
     scores = report.submission_scores(_overall(spark, folder), _sub_files(spark, folder))
     return report.graph_json(scores, report.network_edges(report.submission_pairs(_overall(spark, folder), _sub_files(spark, folder))))
 
 
-@query("line_json")
+@query(
+    "line_json",
+    f"""WITH {BLOCKS}, l AS (SELECT file_id, block_id, r.start_line AS s, r.end_line AS e, unnest(range(r.start_line, r.end_line + 1)) AS line FROM (SELECT block_id, file_id, unnest(ranges) AS r FROM bb)),
+o AS (SELECT file_id, line::VARCHAR AS line, list(block_id ORDER BY s, e, block_id) AS a, first(block_id ORDER BY s DESC, e, block_id) AS v FROM l GROUP BY ALL)
+SELECT file_id, '{{"visible":{{' || string_agg('"' || line || '":' || v, ',' ORDER BY line) || '}},"all":{{' || string_agg('"' || line || '":[' || array_to_string(a, ',') || ']', ',' ORDER BY line) || '}}}}' AS json FROM o GROUP BY file_id""",
+)
 def line_json(spark, folder):
     return report.line_json(_coverage(spark, folder), ["file_id"])
 
