@@ -50,3 +50,10 @@ def test_ranges_and_paths(spark):
     df = spark.createDataFrame([([(1, 3), (2, 4), (9, 8)], ["A", "b"], "A.java")], "r array<struct<start_line:int,end_line:int>>, d array<string>, n string")
     row = df.select(c.range_lines("r").alias("l"), c.total_length("r").alias("t"), c.display_path("d", "n").alias("p"), c.display_path("d", F.lit("z"), "-").alias("q")).first()
     assert tuple(row) == ([1, 2, 3, 4], 6, "b/A.java", "A-b-z")
+
+
+def test_content_hash_of_512_bits(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("",), ("ü\n",), (None,)], "c string")
+    assert [r["h"] for r in df.select(columns.content_hash("c", 512).alias("h")).collect()] == [hashlib.sha512(x.encode()).hexdigest() if x is not None else None for x in ("", "ü\n", None)]

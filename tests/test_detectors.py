@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from textloom.operators import ngram, structure
+from textloom.operators import ngram, pairs, structure
+from textloom.session import Stash
 from textloom.functions import java_tree, trees
 
 
@@ -78,6 +79,19 @@ def test_no_match_is_lost_by_keys(spark, n, window, threshold):
     assert got == sorted(want)
 
 
+def test_salted_keys_and_small_blocks(spark, monkeypatch):
+    """How keys are parted and pairs are dealt to blocks changes no result."""
+    t = texts(7, 20)
+    df = spark.createDataFrame([(i, i % 2, f"s{i % 5}", x) for i, x in enumerate(t)], f"id long, grp long, sub string, lines {ngram.LINES}").where("size(lines) > 0")
+    plain = sorted(map(tuple, ngram.detect(df, 3, 3, 0.7).collect()))
+    for name, value in (("PART", 1), ("SAMPLE", 1), ("SIDE", 2)):
+        monkeypatch.setattr(pairs, name, value)
+    rows = spark.createDataFrame([(i % 3, i, f"s{i % 4}") for i in range(30)], "k long, id long, sub string")
+    got = sorted((r["k"], r["id_a"], r["id_b"], r["sub_a"], r["sub_b"]) for r in pairs.keyed_pairs(rows, ["k"], Stash(spark)).collect())
+    assert got == sorted((a % 3, a, b, f"s{a % 4}", f"s{b % 4}") for a in range(30) for b in range(a + 1, 30) if a % 3 == b % 3)
+    assert sorted(map(tuple, ngram.detect(df, 3, 3, 0.7).collect())) == plain and plain
+
+
 def test_threshold_at_the_float_boundary():
     assert ngram.needed(10, 0.8) == 9 and np.float32(4) / np.float32(5) >= np.float32(0.8)
     assert ngram.needed(9, 0.8) == 8

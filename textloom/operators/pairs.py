@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.columns import display_name
+from textloom.session import Stash, tasks
+
+#: Rows of a key that are worked on in one part; how many a key has is told by one of SAMPLE ids.
+PART, SAMPLE = 256, 32
+#: Files on either side of a block of pairs.
+SIDE = 64
 
 
 def submission_key(submission: str = "submission", file: str = "file_id") -> Column:
@@ -40,3 +49,58 @@ def pair_counts(files: DataFrame, group: str = "workspace_id", id: str = "file_i
     by_sub = f.groupBy("grp", "sub").agg(F.count("*").alias("n"))
     sums = by_sub.groupBy("grp").agg(F.sum("n").alias("n_files"), F.sum(F.col("n") * F.col("n")).alias("own"))
     return sums.select(F.col("grp").alias(group), "n_files", F.expr("(n_files * n_files - own) div 2").alias("n_pairs"))
+
+
+def keyed_pairs(rows: DataFrame, on: list[str], stash: Stash) -> DataFrame:
+    """All pairs a < b of rows (on, id, ...) with the same key: (on, id_a, ..._a, id_b, ..._b).
+
+    A key with very many rows is salted: each of its rows stands in one part on the one side and in all parts on the other, so that
+    no task has a whole key. Which keys these are is estimated from one of SAMPLE ids, which changes nothing but the work's order.
+    """
+    rest = [c for c in rows.columns if c not in on]
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy(*on).agg(F.count("*").alias("n"))
+    hot = stash.keep(sample.where(F.col("n") * SAMPLE > 2 * PART).select(*on, F.ceil(F.col("n") * SAMPLE / PART).cast("int").alias("_parts")))
+    one, two = rows.select(*on, *[F.col(c).alias(f"{c}_a") for c in rest]), rows.select(*on, *[F.col(c).alias(f"{c}_b") for c in rest])
+    key = on
+    if not hot.isEmpty():
+        parts = F.coalesce("_parts", F.lit(1))
+        one = one.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64("id_a"), parts).cast("int")).drop("_parts")
+        two = two.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        key = [*on, "_part"]
+    return one.join(two, key).where("id_a < id_b").select(*on, *[f"{c}_a" for c in rest], *[f"{c}_b" for c in rest])
+
+
+def in_blocks(pairs: DataFrame, records: DataFrame, payload: str, load: Callable, match: Callable, schema: str, arrow: list[pa.DataType]) -> DataFrame:
+    """Rows of ``schema`` (grp, a, b, ...) that ``match(load(payload of a), load(payload of b))`` makes of each pair (grp, a, b).
+
+    The files of a group are dealt to buckets of about SIDE, and the pairs to blocks of two buckets. A file's payload (``records``:
+    id, grp, payload) is sent and loaded once for each block that has a pair of it, and not once for each pair; a task holds
+    the files of one block at a time. ``load`` gets the payload and a dictionary that lasts as long as the block.
+    """
+    sizes = records.groupBy("grp").agg(F.count("*").alias("_n"))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("_n") / SIDE)).cast("int")
+    p = pairs.select("grp", "a", "b").join(sizes, "grp").select("grp", bucket("a").alias("x"), bucket("b").alias("y"), "a", "b")
+    p = p.select("grp", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b")
+    needed = p.select("grp", "x", "y", F.col("a").alias("id")).unionByName(p.select("grp", "x", "y", F.col("b").alias("id"))).distinct()
+    sent = needed.join(records.select("id", payload), "id").select("grp", "x", "y", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), payload)
+    # the work is in the pairs, not in their bytes: a number of tasks that Spark doesn't merge by size
+    rows = sent.unionByName(p.withColumn(payload, F.lit(None).cast(records.schema[payload].dataType)))
+    rows = rows.repartition(tasks(pairs.sparkSession), "grp", "x", "y").sortWithinPartitions("grp", "x", "y", F.asc_nulls_first("b"), "a")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, shared = None, {}, {}
+        for batch in batches:
+            out: list[tuple] = []
+            column = batch.column(5)
+            for k, (g, x, y, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                if block != (g, x, y):
+                    block, held, shared = (g, x, y), {}, {}
+                if b is None:
+                    held[a] = load(column[k], shared)
+                else:
+                    out.extend((g, a, b, *m) for m in match(held[a], held[b]))
+            cols = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, arrow)], names=names)
+
+    return rows.select("grp", "x", "y", "a", "b", payload).mapInArrow(work, schema)

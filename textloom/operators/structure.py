@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import haskell_tree, java_tree, trees
 from textloom.functions.columns import language_key
-from textloom.operators.pairs import submission_key
-from textloom.session import Stash, spread, tasks
+from textloom.operators.pairs import in_blocks, keyed_pairs, submission_key
+from textloom.session import Stash, spread
 
 PARSERS: dict[str, Callable] = {"java": java_tree.tree, "haskell": haskell_tree.tree}
 NODE = "struct<node_id:int,parent_id:int,child_ix:int,kind:string,value:string,start_line:int,start_char:int,end_line:int,end_char:int,weight:int,height:int,bfs_ix:int,post_ix:int,fp_strict:string,fp_abstract:string>"
@@ -231,29 +231,14 @@ def tree_matches(parsed: DataFrame, files: DataFrame, least_height: int = 5, lea
 
     stash = Stash(files.sparkSession)
     t = stash.keep(spread(t.select("id", "grp", "sub", "nodes")).mapInArrow(packed, "id long, grp long, sub string, tree binary, keys array<long>"))
-    keys = t.select("id", "grp", "sub", F.explode("keys").alias("key"))
-    a = keys.select(F.col("id").alias("a"), "grp", F.col("sub").alias("sub_a"), "key")
-    b = keys.select(F.col("id").alias("b"), "grp", F.col("sub").alias("sub_b"), "key")
-    pairs = a.join(b, ["grp", "key"]).where("a < b AND sub_a <> sub_b").select("grp", "a", "b").distinct()
-    n_tasks = tasks(files.sparkSession)
-    both = pairs.join(t.select(F.col("id").alias("a"), F.col("tree").alias("ta")), "a").repartition(n_tasks, "b").join(t.select(F.col("id").alias("b"), F.col("tree").alias("tb")).repartition(n_tasks, "b"), "b").select("grp", "a", "b", "ta", "tb")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, Tree] = {}
-
-        def of(i: int, rows: pa.Scalar) -> Tree:
-            if i not in seen:
-                if len(seen) >= 300:
-                    seen.clear()
-                seen[i] = Tree(rows.as_py())
-            return seen[i]
+    keys = t.select("grp", F.explode("keys").alias("key"), "id", "sub")
+    pairs = keyed_pairs(keys, ["grp", "key"], stash).where("sub_a <> sub_b").select("grp", F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
-        for batch in batches:
-            rows: list[tuple] = []
-            for g, a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                rows.extend((g, a, b, k, *m) for k, m in enumerate(match_trees(of(a, ta), of(b, tb), least_height, least_dice)))
-            types = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.float32()] + [pa.int32()] * 2
-            cols = list(zip(*rows)) if rows else [[]] * 11
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["grp", "file1_id", "file2_id", "match_ix", "s1", "e1", "s2", "e2", "similarity", "weight1", "weight2"])
-
-    return both.mapInArrow(match, "grp long, file1_id long, file2_id long, match_ix int, s1 int, e1 int, s2 int, e2 int, similarity float, weight1 int, weight2 int")
+    def load(tree: pa.Scalar, shared: dict) -> Tree:
+        return Tree(tree.as_py())
+
+    def match(one: Tree, two: Tree) -> Iterator[tuple]:
+        return ((k, *m) for k, m in enumerate(match_trees(one, two, least_height, least_dice)))
+
+    schema = "grp long, file1_id long, file2_id long, match_ix int, s1 int, e1 int, s2 int, e2 int, similarity float, weight1 int, weight2 int"
+    return in_blocks(pairs, t.select("id", "grp", "tree"), "tree", load, match, schema, [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.float32()] + [pa.int32()] * 2)

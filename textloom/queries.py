@@ -607,9 +607,8 @@ def line_json(spark, folder):
 
 @query("job_scores")
 def job_scores(spark, folder):
-    """Scores of all files against all by the trees of the files and their declarations."""
-    config = job.JobConfig({"VariableNameDetector": {}, "ASTDetector": {}})
-    return job.run_job(table(spark, folder, "files").drop("loaded_at"), table(spark, folder, "workspaces"), config).file_scores
+    """Scores of all files against all, by all detectors."""
+    return job.run_job(table(spark, folder, "files").drop("loaded_at"), table(spark, folder, "workspaces")).file_scores
 
 
 @query("job_overall")
