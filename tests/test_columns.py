@@ -56,4 +56,4 @@ def test_content_hash_of_512_bits(spark):
     import hashlib
 
     df = spark.createDataFrame([("",), ("ü\n",), (None,)], "c string")
-    assert [r["h"] for r in df.select(columns.content_hash("c", 512).alias("h")).collect()] == [hashlib.sha512(x.encode()).hexdigest() if x is not None else None for x in ("", "ü\n", None)]
+    assert [r["h"] for r in df.select(c.content_hash("c", 512).alias("h")).collect()] == [hashlib.sha512(x.encode()).hexdigest() if x is not None else None for x in ("", "ü\n", None)]
