@@ -84,16 +84,17 @@ def units(text: str) -> list[str]:
 
 
 class Facts(dict):
-    """(lower case, languages in which it is common, whether it is odd) of a word, remembered for up to ``most`` short words."""
+    """(lower case, languages in which it is common, whether it is odd, its digits, its letters and digits) of a word, remembered for up
+    to ``most`` short words."""
 
     def __init__(self, most: int = 300_000):
         self.most = most
 
-    def __missing__(self, w: str) -> tuple[str, tuple[int, ...], bool]:
+    def __missing__(self, w: str) -> tuple[str, tuple[int, ...], bool, int, int]:
         low = w.lower()
         plain = low.isalpha() or low.isdecimal() or "'" in low or "’" in low
         mixed_case = w[1:] != low[1:] and w.isalpha() and not w.isupper()
-        out = (low, _ANY.get(low, ()), not plain or mixed_case)
+        out = (low, _ANY.get(low, ()), not plain or mixed_case, sum(map(str.isdecimal, w)), sum(map(str.isalnum, w)))
         if len(w) <= 40:
             if len(self) >= self.most:
                 self.clear()
@@ -101,21 +102,24 @@ class Facts(dict):
         return out
 
 
-def is_running(unit: str, words: list[tuple[str, tuple[int, ...], bool]]) -> bool:
+def is_running(unit: str, words: list[tuple[str, tuple[int, ...], bool, int, int]]) -> bool:
     """By the language that has most of the unit's words in common."""
     n = len(words)
     if n < LEAST_WORDS:
         return False
+    known = [w for w in words if w[1]]
+    if len(known) < LEAST_COMMON * n:
+        return False
     votes = [0] * len(LANGUAGES)
-    for _, languages, _ in words:
-        for i in languages:
+    for w in known:
+        for i in w[1]:
             votes[i] += 1
     most = max(votes)
     if most < LEAST_COMMON * n:
         return False
     k = votes.index(most)
-    common = {low for low, languages, _ in words if k in languages}
-    different = len({low for low, _, _ in words})
+    common = {w[0] for w in known if k in w[1]}
+    different = len({w[0] for w in words})
     return len(common) > 1 and max(map(len, common)) > 1 and different >= DIFFERENT[0] * n ** DIFFERENT[1] and n >= LEAST_ENTRY * len(_ENTRY.findall(unit))
 
 
@@ -126,14 +130,15 @@ def statistics(text: str, facts: Facts | None = None) -> tuple[str, list[float],
     n = len(words)
     solid = sum(map(len, text.split()))
     votes = [0] * len(LANGUAGES)
-    odd = 0
+    odd = digits = alnum = 0
     for w in words:
-        _, languages, strange = facts[w]
+        _, languages, strange, decimals, solid_part = facts[w]
         odd += strange
+        digits += decimals
+        alnum += solid_part
         for i in languages:
             votes[i] += 1
     letters = sum(map(len, words))
-    digits = sum(map(str.isdecimal, text)) if n else 0
     best = max(range(len(votes)), key=votes.__getitem__)
     lang = LANGUAGES[best] if votes[best] else ""
     lines = [x for x in map(str.strip, text.split("\n")) if x]
@@ -146,7 +151,6 @@ def statistics(text: str, facts: Facts | None = None) -> tuple[str, list[float],
         sentence_words += len(ws)
         if is_running(u, ws):
             running += len(u)
-    alnum = sum(map(str.isalnum, text))
     x = [
         math.log1p(n),
         letters / n if n else 0.0,
