@@ -151,3 +151,12 @@ def test_below(spark):
     n = structure.nodes(structure.parse(files))
     root = n.where("kind = 'FUNCTION_DECL'").first()
     assert structure.below(n, root["node_id"]).count() == root["weight"]
+
+
+def test_deep_nesting_and_what_is_not_read(spark):
+    deep = "class A { int x = " + "(" * 3000 + "1" + ")" * 3000 + "; }"
+    haskell = "foreign import ccall f :: Int\ng = " + "(" * 3000 + "1" + ")" * 3000 + "\n"
+    files = spark.createDataFrame([(1, deep, "java"), (2, haskell, "haskell")], "file_id long, content string, lang string")
+    got = {r["file_id"]: r for r in structure.parse(files).collect()}
+    assert got[1]["problem"] is None and got[2]["problem"] is None and "NUMBER_LITERAL" in [n["kind"] for n in got[1]["nodes"]]
+    assert [n["kind"] for n in got[2]["nodes"]].count("UNKNOWN") == 1

@@ -28,6 +28,7 @@ class Builder:
         self.end = Token(-1, "EOF", "", DEFAULT, self.t[-1].line if self.t else 1)
         self.p = 0
         self.variables: list[tuple[int, str]] = []
+        self.arrows: dict[int, bool] = {}
 
     # tokens
 
@@ -605,16 +606,21 @@ class Builder:
             return True
         if self.at() != "(":
             return False
-        k = depth = 0
-        while self.p + k < len(self.t):
-            x = self.at(k)
-            depth += (x == "(") - (x == ")")
-            if not depth:
-                return self.at(k + 1) == "->"
-            if x in (";", "{", "}"):
-                return False
-            k += 1
-        return False
+        if self.p not in self.arrows:
+            # one scan answers for all brackets within as well
+            opened: list[int] = []
+            for at in range(self.p, len(self.t)):
+                x = self.t[at].text
+                if x == "(":
+                    opened.append(at)
+                elif x == ")":
+                    self.arrows[opened.pop()] = at + 1 < len(self.t) and self.t[at + 1].text == "->"
+                    if not opened:
+                        break
+                elif x in (";", "{", "}"):
+                    break
+            self.arrows.update(dict.fromkeys(opened, False))
+        return self.arrows[self.p]
 
     def expression(self) -> Node | None:
         start = self.here()

@@ -16,6 +16,8 @@ from textloom.functions.columns import language_key
 from textloom.operators.pairs import in_blocks, keyed_pairs, submission_key
 from textloom.session import Stash, spread
 
+#: Frames of Python that a character of source text can take, more than any does.
+FRAMES = 64
 PARSERS: dict[str, Callable] = {"java": java_tree.tree, "haskell": haskell_tree.tree}
 NODE = "struct<node_id:int,parent_id:int,child_ix:int,kind:string,value:string,start_line:int,start_char:int,end_line:int,end_char:int,weight:int,height:int,bfs_ix:int,post_ix:int,fp_strict:string,fp_abstract:string>"
 _FIELDS = [f.split(":") for f in NODE[7:-1].split(",")]
@@ -34,12 +36,13 @@ def parse(files: DataFrame, id: str = "file_id", text: str = "content", lang: st
     parsers = PARSERS
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
         names = [n for n, _ in _FIELDS]
         for b in batches:
             nodes, variables, problems = [], [], []
-            for lang, text in zip(b.column(1).to_pylist(), b.column(2)):
-                root, found, problem = parsers[lang](text.as_py())
+            for lang, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                # frames stand on the heap: only memory bounds how deeply a text may be nested
+                sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + FRAMES * len(text)))
+                root, found, problem = parsers[lang](text)
                 nodes.append([dict(zip(names, r)) for r in trees.rows(root, lang)] if with_nodes else [])
                 variables.append([{"line": n, "value": v} for n, v in found])
                 problems.append(problem)
