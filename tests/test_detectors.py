@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from textloom.operators import ngram, pairs, structure
+from textloom.operators import ngram, pairs, preprocess, structure
 from textloom.session import Stash
 from textloom.functions import java_tree, trees
 
@@ -156,3 +157,27 @@ def test_variable_matches(spark):
     f = files(spark, [(1, "s", "class A { int x; int x; }"), (2, "s", "class B { int x; }"), (3, "t", "class C { int x; long x; }")])
     d = structure.variables(structure.parse(f), f)
     assert sorted((r["file1_id"], r["file2_id"], r["string"]) for r in structure.variable_matches(d).collect()) == [(1, 3, "intx;")] * 2 + [(2, 3, "intx;")]
+
+
+@pytest.mark.parametrize("wide, dense", [(1024, 64), (3, 64), (3, 2), (7, 4)])
+def test_candidates_are_the_files_that_share_a_key(spark, monkeypatch, wide, dense):
+    """However files are dealt to blocks, and also where one key stands in all of them; the keys are never written."""
+    monkeypatch.setattr(pairs, "WIDE", wide)
+    monkeypatch.setattr(pairs, "DENSE", dense)
+    t = texts(3, 24)
+    df = spark.createDataFrame([(i, i % 2, f"s{i % 5}", [(0, "abcabcab"), *x] if i % 3 else x) for i, x in enumerate(t)], f"id long, grp long, sub string, lines {ngram.LINES}")
+    keys = []
+    for i, x in enumerate(t):
+        h = ngram.hashed(ngram.grams_of([(0, "abcabcab"), *x] if i % 3 else x, 3)[0], {})
+        keys.append({k for part in ngram.part_keys(h, 4, 0.8) for k in part.tolist()})
+    want = [(i % 2, i, j) for i, j in itertools.combinations(range(len(t)), 2) if i % 2 == j % 2 and i % 5 != j % 5 and keys[i] & keys[j]]
+    monkeypatch.setattr(Stash, "keep", lambda *_: pytest.fail("keys are written"))
+    assert sorted(map(tuple, ngram.candidates(df, 3, 4, 0.8).collect())) == sorted(want) and want
+
+
+def test_lines_of_files_are_those_of_the_token_rows(spark):
+    data = [(1, "java", "class A {  int x;\t// one \r\n/* two \r\n\n  three\u2028 */ int y;\r}\n"), (2, "java", ""), (3, "haskell", "module M where\n{- a\n b -}\nf x  =  x -- c\n"), (4, "cobol", "x"), (5, "java", "  // \u0001 a \u2028\n\"open\n'"), (6, None, "x"), (7, "java", None)]
+    f = spark.createDataFrame(data, "file_id long, lang string, content string").selectExpr("*", "1L AS workspace_id", "'s' AS submission")
+    got = preprocess.file_lines(f, {"id": F.col("file_id")}, "id long")
+    want = ngram.by_file(preprocess.lines(f), f)
+    assert sorted((r["id"], r["lines"]) for r in got.collect()) == sorted((r["id"], r["lines"]) for r in want.collect()) and got.count() == 3
