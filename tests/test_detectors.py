@@ -115,6 +115,20 @@ def test_multiset_jaccard(spark):
     assert got == {1: pytest.approx(1 / 3), 2: 0.0, 3: 0.5, 4: 0.0}
 
 
+def test_multiset_jaccard_of_files(spark, monkeypatch):
+    """The same figures as of rows of n-grams, which are not made: each file's are counted where its pairs are."""
+    monkeypatch.setattr(pairs, "SIDE", 3)
+    r = random.Random(5)
+    lines = [["".join(r.choice("ab \u3000\x1c\t") for _ in range(r.randrange(0, 9))) for _ in range(r.randrange(0, 6))] for _ in range(12)]
+    t = spark.createDataFrame(list(enumerate(lines)), "id long, values array<string>")
+    p = spark.createDataFrame([(a % 2, a, b) for a, b in itertools.combinations(range(14), 2)], "grp long, a long, b long")
+    both = p.join(t.selectExpr("id AS a", "values AS x"), "a").join(t.selectExpr("id AS b", "values AS y"), "b")
+    found = ngram.multiset_jaccard_of_files(p, t, 3)
+    want = ngram.multiset_jaccard(both, "x", "y", ["a", "b"], 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 66
+    assert "substring" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def tree(text):
     names = [f for f, _ in structure._FIELDS]
     return structure.Tree(structure.pack([dict(zip(names, r)) for r in trees.rows(java_tree.tree(text)[0], "java")], True)[0])
