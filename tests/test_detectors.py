@@ -195,3 +195,12 @@ def test_lines_of_files_are_those_of_the_token_rows(spark):
     got = preprocess.file_lines(f, {"id": F.col("file_id")}, "id long")
     want = ngram.by_file(preprocess.lines(f), f)
     assert sorted((r["id"], r["lines"]) for r in got.collect()) == sorted((r["id"], r["lines"]) for r in want.collect()) and got.count() == 3
+
+
+def test_a_name_that_many_files_declare_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PART", 2)
+    monkeypatch.setattr(pairs, "SAMPLE", 1)
+    rows = [(1, f"s{i % 4}", i, i, "int x;") for i in range(16)] + [(1, "s1", 20, 3, "int y;"), (2, "s1", 21, 3, "int x;")]
+    found = structure.variable_matches(spark.createDataFrame(rows, "grp long, sub string, id long, line int, value string"))
+    assert sorted((r["file1_id"], r["file2_id"], r["s1"], r["e2"]) for r in found.collect()) == [(a, b, a, b) for a in range(16) for b in range(a + 1, 16) if a % 4 != b % 4]
+    assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
