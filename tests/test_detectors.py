@@ -204,3 +204,28 @@ def test_a_name_that_many_files_declare_is_dealt_to_many_tasks(spark, monkeypatc
     found = structure.variable_matches(spark.createDataFrame(rows, "grp long, sub string, id long, line int, value string"))
     assert sorted((r["file1_id"], r["file2_id"], r["s1"], r["e2"]) for r in found.collect()) == [(a, b, a, b) for a in range(16) for b in range(a + 1, 16) if a % 4 != b % 4]
     assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_of_all_pairs_are_found_in_blocks(spark, monkeypatch):
+    """No row is made of a pair or of a key, and places without a shared key are not looked at; blocks of any size give the same."""
+    t = [*texts(21, 22), [(1, "-" * 30), (2, "abcabcab")], [(1, "-" * 40), (3, "abcabcab")]]
+    schema = f"id long, grp long, sub string, lines {ngram.LINES}"
+    df = spark.createDataFrame([(i, i % 2 if i < 22 else 0, f"s{i % 5}", x) for i, x in enumerate(t)], schema).where("size(lines) > 0")
+    held = [(i, i % 2 if i < 22 else 0, x) for i, x in enumerate(t) if x]
+    want = [(g, a, b, k, *m) for a, g, x in held for b, h, y in held if a < b and g == h and a % 5 != b % 5 for k, m in enumerate(oracle(x, y, 3, 4, 0.7))]
+    for name in ("candidates", "in_blocks", "sharing_pairs"):
+        monkeypatch.setattr(ngram, name, lambda *_, name=name: pytest.fail(name))
+    for size, batch in ((128, 1 << 16), (3, 2), (1, 1)):
+        monkeypatch.setattr(pairs, "BLOCK", size)
+        monkeypatch.setattr(pairs, "BATCH", batch)
+        found = [(r["grp"], *tuple(r)[1:]) for r in ngram.detect(df, 3, 4, 0.7).collect()]
+        assert sorted(found) == sorted(want) and any(m[1:3] == (22, 23) for m in want)
+
+
+def test_only_places_of_shared_keys_are_starts():
+    numbers = {}
+    one, two = (ngram.Sequence([(1, x), (2, "the same line here")], 3, numbers, 4, 0.8) for x in ("aaaaaaaaaaaaaaaaaaaa", "bcdefghijklmnopqrstuv"))
+    at, keys = ngram.starts(one, two)
+    assert at and at == sorted(at) and min(at) >= 19 - 3 and len(at) == len(keys)
+    (i, k, at2, _), = ngram.shared_starts([one, two], lambda k: np.ones(k, bool))
+    assert (i, k, at2) == (0, 1, at)
