@@ -229,3 +229,73 @@ def test_only_places_of_shared_keys_are_starts():
     assert at and at == sorted(at) and min(at) >= 19 - 3 and len(at) == len(keys)
     (i, k, at2, _), = ngram.shared_starts([one, two], lambda k: np.ones(k, bool))
     assert (i, k, at2) == (0, 1, at)
+
+
+def plain_match(one, two, least_height, least_dice):
+    """Anchors and containers by looking at every node of both trees."""
+    n1, n2 = len(one.kind), len(two.kind)
+    partner, taken1, taken2, out = [-1] * n1, [False] * n1, [False] * n2, []
+    for i in sorted((i for i in range(n1) if one.height[i] >= least_height), key=lambda i: (-one.height[i], one.rank[i])):
+        same = [j for j in sorted(range(n2), key=two.rank.__getitem__) if not taken2[j] and (two.height[j], two.print[j]) == (one.height[i], one.print[i])]
+        if taken1[i] or not same:
+            continue
+        j, w = same[0], one.weight[i]
+        out.append((one.start[i], one.end[i], two.start[j], two.end[j], 1.0, w, two.weight[j]))
+        for k in range(w):
+            partner[i + k], taken1[i + k], taken2[j + k] = j + k, True, True
+    above = lambda t, i: [] if t.parent[i] < 0 else [t.parent[i], *above(t, t.parent[i])]
+    mass1 = [sum(taken1[i : i + one.weight[i]]) for i in range(n1)]
+    mass2 = [sum(taken2[j : j + two.weight[j]]) for j in range(n2)]
+    for i in sorted(range(n1), key=one.post.__getitem__):
+        if taken1[i] or one.weight[i] == 1 or mass1[i] <= 0:
+            continue
+        below = [partner[k] for k in range(i, i + one.weight[i]) if partner[k] >= 0]
+        best, best_dice = -1, np.float32(0)
+        for j in sorted((j for j in range(n2) if not taken2[j] and two.kind[j] == one.kind[i]), key=two.rank.__getitem__):
+            dice = np.float32(2 * sum(j <= p < j + two.weight[j] for p in below)) / np.float32(one.weight[i] + two.weight[j])
+            if dice > best_dice:
+                best, best_dice = j, dice
+        if best < 0 or best_dice < np.float32(least_dice):
+            continue
+        hidden1, hidden2 = mass1[i], mass2[best]
+        if one.weight[i] <= hidden1 or two.weight[best] <= hidden2:
+            continue
+        out.append((one.start[i], one.end[i], two.start[best], two.end[best], float(best_dice), one.weight[i] - hidden1, two.weight[best] - hidden2))
+        for p in above(one, i):
+            mass1[p] = max(0, mass1[p] - hidden1)
+        for p in above(two, best):
+            mass2[p] = max(0, mass2[p] - hidden2)
+        partner[i : i + one.weight[i]] = [-1] * one.weight[i]
+    return out
+
+
+def random_class(r):
+    def body(depth):
+        if depth == 0 or r.random() < 0.2:
+            return r.choice(["x = x + 1;", "f(x);", "return;", "int y = x * 2;"])
+        inner = " ".join(body(depth - 1) for _ in range(r.randrange(1, 4)))
+        return r.choice(["if (x > 1) {{ {} }}", "while (f(x)) {{ {} }}", "for (;;) {{ {} }}", "{{ {} }}"]).format(inner)
+
+    return "class A {" + "".join(f"void m{k}(int x) {{ {body(r.randrange(1, 4))} }} " for k in range(r.randrange(1, 5))) + "}"
+
+
+@pytest.mark.parametrize("height, dice", [(5, 0.8), (3, 0.5), (2, 0.2), (1, 0.0)])
+def test_trees_against_the_plain_match(height, dice):
+    r = random.Random(height)
+    all_ = [tree(random_class(r)) for _ in range(12)]
+    found = [structure.match_trees(a, b, height, dice) for a, b in itertools.permutations(all_, 2)]
+    assert found == [plain_match(a, b, height, dice) for a, b in itertools.permutations(all_, 2)]
+    assert any(m[4] == 1.0 for f in found for m in f) and (height > 3 or any(m[4] < 1.0 for f in found for m in f))
+
+
+def test_tree_matches_make_no_rows_of_pairs(spark, monkeypatch):
+    r = random.Random(2)
+    source = [random_class(r) for _ in range(14)]
+    f = files(spark, [(i, f"s{i % 4}", c) for i, c in enumerate(source)])
+    built = [tree(c) for c in source]
+    want = [(i, j, *m) for i, j in itertools.combinations(range(14), 2) if i % 4 != j % 4 for m in structure.match_trees(built[i], built[j], 3, 0.5)]
+    monkeypatch.setattr(structure, "keyed_pairs", lambda *_: pytest.fail("pairs are rows"))
+    for size in (128, 3):
+        monkeypatch.setattr(pairs, "BLOCK", size)
+        found = structure.tree_matches(structure.parse(f), f, 3, 0.5)
+        assert sorted((*tuple(x)[1:3], *tuple(x)[4:]) for x in found.collect()) == sorted(want) and want
