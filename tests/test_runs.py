@@ -1,11 +1,14 @@
 """Stored runs, plug-ins, and names as keys of detection."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import grouping, skeleton, structure
 from textloom.plans import job, runs
 from textloom.plans.registry import DetectorSpec, Registry
+from textloom.session import Stash
 from tests.test_results import job_files
 
 
@@ -121,3 +124,16 @@ def test_names_are_keys_of_detection(spark):
     for detector in ("ASTDetector", "NGramDetector"):
         r = job.run_job(files, spaces(spark), job.JobConfig({detector: {"matchByFilename": 1}}))
         assert {(m["grp"], m["file1_id"], m["file2_id"]) for m in r.matches.collect()} == {(1, 3, 5)}
+
+
+def test_a_job_makes_each_table_once(spark):
+    """Matches of which given code is taken out aren't kept beside those before, and what is read twice is stored."""
+    r = job.run_job(job_files(spark), spaces(spark))
+    at = os.path.dirname(r.matches._stash_path)
+    kept = [spark.read.parquet(f"{at}/{x}").columns for x in os.listdir(at.removeprefix("file:"))]
+    assert sum("match_ix" in c for c in kept) == 1 and sum("weight" in c for c in kept) == 1
+    stash = Stash(spark)
+    m = spark.createDataFrame([(1, 1, 2, 1, 2, 3, 4, 0.5), (1, 1, 3, 1, 2, 5, 6, 1.0), (1, 4, 5, 1, 1, 1, 1, 1.0)], "grp long, file1_id long, file2_id long, s1 int, e1 int, s2 int, e2 int, similarity float")
+    once, twice = grouping.linked_matches(m, stash=stash), grouping.linked_matches(m)
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str) and once.count() == 5
+    assert "avg(" not in once._jdf.queryExecution().optimizedPlan().toString()
