@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import grouping, skeleton, structure
+from textloom.operators import grouping, scoring, skeleton, structure
 from textloom.plans import job, runs
 from textloom.plans.registry import DetectorSpec, Registry
 from textloom.session import Stash
@@ -137,3 +137,10 @@ def test_a_job_makes_each_table_once(spark):
     once, twice = grouping.linked_matches(m, stash=stash), grouping.linked_matches(m)
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str) and once.count() == 5
     assert "avg(" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_pairs_are_paired_once(spark):
+    s = spark.createDataFrame([("a", 1, 1, 0.5), ("a", 1, 2, 0.25), ("b", 2, 1, 0.75), ("b", 2, 3, 0.5)], "detector string, group_id long, file_id long, score double")
+    once = scoring.pair_scores(s, Stash(spark))
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, scoring.pair_scores(s).collect()), key=str) and once.count() == 8
+    assert "Join" not in once._jdf.queryExecution().optimizedPlan().toString()
