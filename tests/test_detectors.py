@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,3 +300,13 @@ def test_tree_matches_make_no_rows_of_pairs(spark, monkeypatch):
         monkeypatch.setattr(pairs, "BLOCK", size)
         found = structure.tree_matches(structure.parse(f), f, 3, 0.5)
         assert sorted((*tuple(x)[1:3], *tuple(x)[4:]) for x in found.collect()) == sorted(want) and want
+
+
+@pytest.mark.parametrize("abstract", [True, False])
+def test_trees_packed_by_column_are_those_packed_by_node(abstract):
+    r, names = random.Random(8), [f for f, _ in structure._FIELDS]
+    built = [[dict(zip(names, x)) for x in trees.rows(java_tree.tree(text)[0], "java")] for text in (*(random_class(r) for _ in range(4)), "", "class {", "class B { String s = \"é\"; }")]
+    want = [structure.pack(x, abstract)[0] for x in built]
+    assert structure.pack_all(pa.array([*built, None, []], structure._NODES), abstract) == [*want, None, b""]
+    assert structure.pack_all(pa.array(built, structure._NODES)[2:5], abstract) == want[2:5]
+    assert structure.pack_all(pa.array([], structure._NODES), abstract) == []
