@@ -310,3 +310,13 @@ def test_trees_packed_by_column_are_those_packed_by_node(abstract):
     assert structure.pack_all(pa.array([*built, None, []], structure._NODES), abstract) == [*want, None, b""]
     assert structure.pack_all(pa.array(built, structure._NODES)[2:5], abstract) == want[2:5]
     assert structure.pack_all(pa.array([], structure._NODES), abstract) == []
+
+
+def test_a_task_holds_the_nodes_of_few_files(spark, monkeypatch):
+    monkeypatch.setattr(structure, "HELD", 3)
+    r = random.Random(4)
+    f = files(spark, [(i, f"s{i % 3}", random_class(r)) for i in range(10)])
+    batch = pa.RecordBatch.from_pydict({"id": list(range(10)), "lang": ["java"] * 10, "text": [random_class(r) for _ in range(10)]})
+    assert [len(b) for b in structure._builder(True, True)(iter([batch]))] == [3, 3, 3, 1] == [len(b) for b in structure._builder(True, None)(iter([batch]))]
+    two = (structure.tree_matches(x, f, 3, 0.5).collect() for x in (structure.parse(f), structure.parse_packed(f)))
+    assert sorted(map(tuple, next(two))) == sorted(map(tuple, next(two)))
