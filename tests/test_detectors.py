@@ -320,3 +320,26 @@ def test_a_task_holds_the_nodes_of_few_files(spark, monkeypatch):
     assert [len(b) for b in structure._builder(True, True)(iter([batch]))] == [3, 3, 3, 1] == [len(b) for b in structure._builder(True, None)(iter([batch]))]
     two = (structure.tree_matches(x, f, 3, 0.5).collect() for x in (structure.parse(f), structure.parse_packed(f)))
     assert sorted(map(tuple, next(two))) == sorted(map(tuple, next(two)))
+
+
+@pytest.mark.parametrize("height, dice", [(5, 0.8), (3, 0.5), (1, 0.0)])
+def test_trees_are_sent_without_what_no_match_needs(height, dice):
+    r = random.Random(height + 20)
+    texts = [*(random_class(r) for _ in range(12)), "", "class {"]
+    rows = [trees.rows(java_tree.tree(x)[0], "java") for x in texts]
+    whole, made = [tree(x) for x in texts], [structure.slim(x, True, height) for x in rows]
+    few = [structure.Tree.read(x) for x in made]
+    for a, b in zip(whole, few):
+        kept = [i for i, h in enumerate(a.height) if h >= height]
+        assert [[getattr(a, c)[i] for i in kept] for c in ("kind", "start", "end", "weight", "height", "print")] == [getattr(b, c) for c in ("kind", "start", "end", "weight", "height", "print")]
+        for order in ("rank", "post"):
+            assert sorted(range(len(kept)), key=[getattr(a, order)[i] for i in kept].__getitem__) == sorted(range(len(kept)), key=getattr(b, order).__getitem__)
+    assert [structure.match_trees(*x, height, dice) for x in itertools.permutations(few, 2)] == [structure.match_trees(*x, height, dice) for x in itertools.permutations(whole, 2)]
+    assert sum(map(len, made)) * 4 < sum(9 * 8 * len(x) for x in rows)
+
+
+def test_large_groups_of_trees_are_sent_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 2)
+    seen = spark.createDataFrame([(i, 1, str(i), b"") for i in range(40)], "id long, grp long, sub string, tree binary")
+    blocks = lambda *most: pairs.within_groups(seen, "tree", lambda x, _: x, lambda held, partners: [(0, 0, [(len(held),)])], "grp long, a long, b long, n int", [pa.int64()] * 3 + [pa.int32()], *most).collect()
+    assert sum(x["n"] for x in blocks(100)) == 40 * 4 < sum(x["n"] for x in blocks(5)) < sum(x["n"] for x in blocks())
