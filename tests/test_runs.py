@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import grouping, scoring, skeleton, structure
+from textloom.operators import grouping, pairs, scoring, skeleton, structure
 from textloom.plans import job, runs
 from textloom.plans.registry import DetectorSpec, Registry
 from textloom.session import Stash
@@ -144,3 +144,20 @@ def test_scores_of_pairs_are_paired_once(spark):
     once = scoring.pair_scores(s, Stash(spark))
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, scoring.pair_scores(s).collect()), key=str) and once.count() == 8
     assert "Join" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_without_stored_matches_are_those_of_matches(spark, monkeypatch):
+    """With given code, files of the same name and submission, and groups that are dealt to many blocks."""
+    files = job_files(spark).unionByName(job_files(spark).where("file_id > 1").withColumn("file_id", F.col("file_id") + 20).withColumn("submission", F.when(F.col("file_id") % 2 == 0, F.lit("s9"))))
+    files = files.withColumn("filename", F.when(F.col("file_id").isin(3, 5, 22, 23), F.lit("same")).otherwise(F.col("filename")))
+    rows = lambda df: sorted(((*r[:-1], round(r[-1], 5)) for r in df.select("detector", *[c for c in ("file_id", "other_file_id") if c in df.columns], "score").collect()), key=str)
+    low = {"ngram_size": 4, "minimum_window": 4, "threshold": 0.5}
+    for size, config in ((128, job.JobConfig()), (2, job.JobConfig({"ASTDetector": {"MIN_HEIGHT": 2, "MIN_DICE": 0.3}, "NGramDetector": low})), (2, job.JobConfig({"ASTDetector": {"matchByFilename": 1, "MIN_HEIGHT": 3}, "VariableNameDetector": {}}))):
+        monkeypatch.setattr(pairs, "BLOCK", size)
+        by_blocks, of_matches = job.run_job(files, spaces(spark), config), job.run_job(files, spaces(spark), config)
+        assert of_matches.matches.count() > 0
+        overall, scores = rows(by_blocks.file_overall), rows(by_blocks.file_scores)
+        assert scores == rows(of_matches.file_scores) and overall == rows(of_matches.file_overall) and scores
+        at = by_blocks.ctx.stash.root.removeprefix("file:")
+        kept = [spark.read.parquet(f"{by_blocks.ctx.stash.root}/{x}").columns for x in os.listdir(at)]
+        assert not any("nodes" in c or "weight1" in c for c in kept) and sum("content" in c for c in kept) == 1
