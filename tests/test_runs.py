@@ -160,4 +160,4 @@ def test_scores_without_stored_matches_are_those_of_matches(spark, monkeypatch):
         assert scores == rows(of_matches.file_scores) and overall == rows(of_matches.file_overall) and scores
         at = by_blocks.ctx.stash.root.removeprefix("file:")
         kept = [spark.read.parquet(f"{by_blocks.ctx.stash.root}/{x}").columns for x in os.listdir(at)]
-        assert not any("nodes" in c or "weight1" in c for c in kept) and sum("content" in c for c in kept) == 1
+        assert not any("nodes" in c or "match_ix" in c for c in kept) and sum("content" in c for c in kept) == 1
